@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["spans_queries", "pack_queries", "docpairs_queries", "defects_queries", "secrets_queries", "parse_queries", "origin_queries"]
+MODULES = ["spans_queries", "pack_queries", "docpairs_queries", "defects_queries", "secrets_queries", "parse_queries", "origin_queries", "mix_queries"]
 
 
 def _modules() -> list:
