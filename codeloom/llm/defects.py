@@ -12,6 +12,7 @@ import keyword
 import math
 import re
 import textwrap
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,10 +53,18 @@ _LANGUAGES = {
     "it": "il lo la gli le un una e è sono in per con che non si del della dei al ora sono stato stati rimane come più questo",
     "sv": "och att det som en ett är av för på med inte den till har om nu eller från kan",
 }
-_WORDS_OF = {k: frozenset(v.split()) for k, v in _LANGUAGES.items()}
+_TONGUES = {w: tuple(k for k, v in _LANGUAGES.items() if w in v.split()) for line in _LANGUAGES.values() for w in line.split()}
+_QUOTED = re.compile(r"(['\"`]).*?\1")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _FENCE = re.compile(r"^\s*```[ \t]*(\w*)[ \t]*\n?(.*?)(?:\n?```\s*|)$", re.S)
 _JAVA_TRIVIA = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", re.S)
+_PYTHON_HEAD = re.compile(r"(?:#|@|async def|def|class|import|from|\"\"\"|''')")
+_OTHER_LINE = re.compile(r"^\s*end\s*$|[{;]\s*$", re.M)
+_CLAUSE = re.compile(r"(?<=[.!?;])\s+|\n")
+_DEF = re.compile(r"\s*(?:#[^\n]*\s+)*(?:@\w+[^\n]*\s+)*(?:async )?(?:def|class)\b")
+_REMARK = re.compile(r"#\s*[^\W\d]+(?:\W+[^\W\d]+){5,}")
+_BRACES_OR_DEF = re.compile(r"[{}=();]|^\s*(?:def|class)\b", re.M)
+_COMMENT = re.compile(r"#[^\n]*")
 _OPEN_END = re.compile(
     r"(?i)\b(?:the|a|an|of|and|or|to|with|that|which|because|so|by|for|from|in|on|at|as|its|into|than|but|if|when"
     r"|(?:which|that|it|there|this) (?:is|was|are|has))$")
@@ -89,11 +98,13 @@ def _plain(code: str) -> tuple[str, str, int]:
     return m[2], m[1].lower(), int(code.count("```") % 2)
 
 
-def _tree(code: str) -> ast.Module | None:
+def _parsed(code: str) -> tuple[ast.Module | None, SyntaxError | None]:
     try:
-        return ast.parse(textwrap.dedent(code).strip("\n"))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return None
+        return ast.parse(textwrap.dedent(code).strip("\n")), None
+    except SyntaxError as e:
+        return None, e
+    except (ValueError, RecursionError, MemoryError):
+        return None, None
 
 
 def _idle(node: ast.stmt) -> bool:
@@ -125,10 +136,10 @@ def _lines(code: str) -> list[str]:
 
 def _foreign(text: str | None) -> tuple[int, int, int]:
     """Words of a text, its English function words, and the function words of the other language that has most."""
-    words = [w.lower() for w in _LETTERS.findall(re.sub(r"(['\"`]).*?\1", " ", text or ""))]
-    hits = {k: sum(w in known for w in words) for k, known in _WORDS_OF.items()}
-    en = hits.pop("en")
-    return len(words), en, max(hits.values())
+    words = _LETTERS.findall(_QUOTED.sub(" ", text or ""))
+    hits = Counter(k for w in words for k in _TONGUES.get(w.lower(), ()))
+    en = hits.pop("en", 0)
+    return len(words), en, max(hits.values(), default=0)
 
 
 def _camel_free(name: str) -> str:
@@ -147,22 +158,18 @@ def _word_cut(code: str, java: str) -> int:
     return int(_camel_free(last[1]) not in known and last[1] not in ("print", "round", "str", "int", "range", "append"))
 
 
-def _breaks_off(code: str) -> int:
+def _breaks_off(code: str, fault: SyntaxError | None) -> int:
     """1 if Python code can't be parsed and the fault lies where it ends."""
-    text = textwrap.dedent(code).strip("\n")
-    try:
-        ast.parse(text)
+    if fault is None:
         return 0
-    except SyntaxError as e:
-        head = text.lstrip().split("\n", 1)[0]
-        if not re.match(r"(?:#|@|async def|def|class|import|from|\"\"\"|''')", head) or re.search(r"^\s*end\s*$|[{;]\s*$", text, re.M):
-            return -1
-        lines = text.rstrip().count("\n") + 1
-        told = e.msg or ""
-        near = (e.lineno or 0) >= lines or "never closed" in told or "unterminated" in told or "EOF" in told or "expected an indented block" in told
-        return int(near)
-    except (ValueError, RecursionError, MemoryError):
+    text = textwrap.dedent(code).strip("\n")
+    head = text.lstrip().split("\n", 1)[0]
+    if not _PYTHON_HEAD.match(head) or _OTHER_LINE.search(text):
         return -1
+    lines = text.rstrip().count("\n") + 1
+    told = fault.msg or ""
+    return int((fault.lineno or 0) >= lines or any(
+        x in told for x in ("never closed", "unterminated", "EOF", "expected an indented block")))
 
 
 def _unended(text: str | None) -> bool:
@@ -190,30 +197,33 @@ def votes(code: str | None, explanation: str | None, notes: str | None, java: st
     """Votes of all labelling functions on one pair."""
     plain, tag, fence = _plain(code or "")
     java = java or ""
-    fields = [f for f in (code, explanation, notes) if f]
-    tree, lines = _tree(plain), _lines(plain)
+    (tree, fault), lines = _parsed(plain), _lines(plain)
+    idle = tree is not None and all(map(_idle, tree.body))
     whole = squeezed(java)
     body = whole[whole.find("{"):] if "{" in whole else ""
-    flat, told = squeezed(plain), squeezed(explanation or "")
-    said = "\n".join(s for f in fields for s in re.split(r"(?<=[.!?;])\s+|\n", f) if not _DOUBT.search(s))
-    words = len(_LETTERS.findall(re.sub(r"(?m)#.*$", "", plain)))
-    pythonic = re.match(r"\s*(?:#[^\n]*\s+)*(?:@\w+[^\n]*\s+)*(?:async )?(?:def|class)\b", plain) is not None
-    sentence = bool(plain.strip()) and tree is None and words > 5 and not re.search(r"[{}=();]|^\s*(?:def|class)\b", plain, re.M)
-    remark = bool(plain.strip()) and not lines and bool(re.search(r"#\s*[^\W\d]+(?:\W+[^\W\d]+){5,}", plain))
+    flat, told = (squeezed(t) if t and "{" in t and "}" in t else "" for t in (plain, explanation))
+    # Of code that parses and does something, only the remarks are prose.
+    prose = ["\n".join(_COMMENT.findall(plain)) if tree is not None and not idle else code or "", explanation or "", notes or ""]
+    said = "\n".join(s for f in prose for s in _CLAUSE.split(f) if not _DOUBT.search(s))
+    declines, ground = bool(_DECLINE.search(said)), bool(_GROUND.search(said))
+    words = len(_LETTERS.findall(_COMMENT.sub("", plain)))
+    pythonic = _DEF.match(plain) is not None
+    sentence = tree is None and words > 5 and not _BRACES_OR_DEF.search(plain)
+    remark = not lines and bool(_REMARK.search(plain))
     is_copy = len(body) > 2 and (body in flat or body in told)
     statements = [x for x in (re.sub(r"\s+", "", y) for y in _JAVA_TRIVIA.sub(" ", java[java.find("{") + 1:]).split("\n")) if len(x) > 4]
-    bare = [re.sub(r"\s+", "", _JAVA_TRIVIA.sub(" ", t or "")) for t in (plain, explanation)]
+    # Java statements end in marks that a text without any can't repeat.
+    bare = [re.sub(r"\s+", "", _JAVA_TRIVIA.sub(" ", t)) if t and (";" in t or "{" in t) else "" for t in (plain, explanation)]
     same = max(sum(x in t for x in statements) / len(statements) for t in bare) if statements else -1.0
     layout = tree is None and not pythonic and len(re.findall(r"[;{}]", plain)) > 2 or len(re.findall(r"[;{}]\s*(?:\n|$)", explanation or "")) > 2
-    idle = tree is not None and all(map(_idle, tree.body))
     other_code = not is_copy and tree is None and not sentence and bool(_FOREIGN_CODE.search(plain))
     other_code = other_code or not is_copy and tag not in ("", "python", "py", "python3", "text", "java")
     texts = [_foreign(f) for f in (explanation, notes) if f and f.strip() and not (is_copy and f is explanation)]
-    signs = any(re.search(r"[^\x00-\x7f]", re.sub(r"(['\"`]).*?\1", " ", f)) and not re.search(r"[;{}]\s*\n", f)
+    signs = any(not f.isascii() and not _QUOTED.sub(" ", f).isascii() and not re.search(r"[;{}]\s*\n", f)
                 for f in (explanation, notes) if f)
     unended = not is_copy and _unended(explanation)
     judged = bool(plain.strip()) and not (is_copy or other_code or sentence or remark)
-    off = _breaks_off(plain) if judged else -1
+    off = _breaks_off(plain, fault) if judged else -1
     lacking = _end_lacking(plain, java) if judged and not idle else -1
     cut = _word_cut(plain, java) if judged and pythonic and not idle else -1
 
@@ -222,10 +232,10 @@ def votes(code: str | None, explanation: str | None, notes: str | None, java: st
 
     return {
         "refusal": (
-            int(bool(_DECLINE.search(said) and _JOB.search(said))),
-            int(bool(_GROUND.search(said))),
+            int(declines and bool(_JOB.search(said))),
+            int(ground),
             int(sentence or remark) if code else -1,
-            -1 if lines and not idle else int(bool(_DECLINE.search(said) or _GROUND.search(said))),
+            -1 if lines and not idle else int(declines or ground),
         ),
         "copy": (int(is_copy), int(same >= 0.6) if same >= 0 else -1, int(layout)),
         "empty": (
