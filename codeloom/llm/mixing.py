@@ -23,6 +23,8 @@ STEPS = 25
 CLOSE = 1e-4
 #: Independent parts in which the copies of one domain and length class are rounded.
 PARTS = 4
+#: Part of a domain's expected tokens that its short texts hold; they make up for the rounding of long ones.
+SHORT_SHARE = 0.4
 MAX_TARGETS = 1000
 
 
@@ -141,31 +143,59 @@ def fit_rates(table: DataFrame, targets: list[tuple[str, float, int]]) -> list[l
     return history
 
 
+def _rounded(rated: DataFrame, parts: int) -> DataFrame:
+    """``copies`` for ``rate``: rounded down, and one more where the running sum of the remainders passes a whole number.
+
+    The texts of a domain are taken from long to short by length class, a class in ``parts`` parts.  The running sum
+    goes on from part to part; the parts' own sums are few, as they grow with the lengths' logarithm.
+    """
+    group = ["source", "_class", "_part"]
+    rated = rated.withColumns({"_part": F.pmod(F.xxhash64("doc_id"), F.lit(parts)), "_rest": F.col("rate") - F.floor("rate")})
+    sums = rated.groupBy(*group).agg(F.sum("_rest").alias("_sum"))
+    before = F.sum("_sum").over(W.partitionBy("source").orderBy(F.desc("_class"), "_part")) - F.col("_sum")
+    order = W.partitionBy(*group).orderBy(F.desc("tokens"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    rated = rated.withColumn("_upto", F.sum("_rest").over(order)).join(
+        sums.select(*group, before.alias("_start")), group)
+    upto = F.lit(0.5) + F.col("_start") + F.col("_upto")
+    more = F.floor(upto + 1e-9) - F.floor(upto - F.col("_rest") + 1e-9)
+    return rated.withColumn("copies", F.least(F.floor("rate") + more, F.col("cap")).cast("int"))
+
+
 def mixture(table: DataFrame, targets: list[tuple[str, float, int]], parts: int = PARTS) -> DataFrame:
     """(doc_id, source, tokens, rate, copies): how often each text enters the mixture; ``source`` is its own or likeliest.
 
-    Copies are the rate rounded down, and one more where the running sum of the remainders passes a whole number:
-    texts of a domain are taken by length class, a class in ``parts`` parts, each ordered by length.
+    The long texts of each domain are rounded first; what they are over or under is made up by the rates of the short
+    ones, so that the error left is one of short texts.
     """
     names = [s for s, _, _ in targets]
     history = fit_rates(table, targets)
     likeliest = F.element_at(F.array(*map(F.lit, names)), F.array_position("membership", F.array_max("membership")).cast("int"))
-    rated = table.withColumn("rate", F.round(_rate(history), 9) if history else F.lit(0.0)).withColumn(
-        "source", F.coalesce("label", likeliest))
-    rated = rated.withColumns({
-        "_class": F.floor(F.log2("tokens") * 4).cast("int"), "_part": F.pmod(F.xxhash64("doc_id"), F.lit(parts)),
-        "_rest": F.col("rate") - F.floor("rate")})
-    # The running sum goes on from part to part: the parts' own sums are few, as they grow with the lengths' logarithm.
-    group = ["source", "_class", "_part"]
-    sums = rated.groupBy(*group).agg(F.sum("_rest").alias("_sum"))
-    before = F.sum("_sum").over(W.partitionBy("source").orderBy("_class", "_part")) - F.col("_sum")
-    starts = sums.select(*group, before.alias("_start"))
-    order = W.partitionBy(*group).orderBy("tokens", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    rated = rated.withColumn("_upto", F.sum("_rest").over(order)).join(starts, group)
-    upto = F.lit(0.5) + F.col("_start") + F.col("_upto")
-    more = F.floor(upto + 1e-9) - F.floor(upto - F.col("_rest") + 1e-9)
-    return rated.select("doc_id", "source", "tokens", "rate",
-                        F.least(F.floor("rate") + more, F.col("cap")).cast("int").alias("copies"))
+    rated = table.select("doc_id", F.coalesce("label", likeliest).alias("source"), "tokens", "cap",
+                         F.round(_rate(history), 9).alias("rate") if history else F.lit(0.0).alias("rate"),
+                         F.floor(F.log2("tokens") * 4).cast("int").alias("_class"))
+    # Expected tokens by length class: a few dozen classes for each of the targets.
+    expected: dict[str, dict[int, float]] = {}
+    for r in rated.groupBy("source", "_class").agg(F.sum(F.col("tokens") * F.col("rate")).alias("t")).collect():
+        expected.setdefault(r.source, {})[r["_class"]] = r.t
+    cuts, short = {}, {}
+    for s, classes in expected.items():
+        held, whole = 0.0, sum(classes.values())
+        for c in sorted(classes):
+            held += classes[c]
+            cuts[s], short[s] = c, held
+            if held >= SHORT_SHARE * whole:
+                break
+    case = lambda of: F.coalesce(*[F.when(F.col("source") == s, F.lit(v)) for s, v in of.items()], F.lit(0))
+    if not cuts:
+        return rated.select("doc_id", "source", "tokens", "rate", F.lit(0).alias("copies"))
+    is_short = F.col("_class") <= case(cuts)
+    long = _rounded(rated.where(~is_short), parts).groupBy("source").agg(
+        F.sum(F.col("tokens") * (F.col("copies") - F.col("rate"))).alias("over"))
+    over = {r.source: r.over for r in long.collect()}
+    factor = {s: max(0.0, 1.0 - over.get(s, 0.0) / short[s]) if short[s] > 0 else 1.0 for s in cuts}
+    evened = rated.withColumn("rate", F.when(is_short, F.least(F.col("cap").cast("double"), F.round(F.col("rate") * case(factor), 9)))
+                              .otherwise(F.col("rate")))
+    return _rounded(evened, parts).select("doc_id", "source", "tokens", "rate", "copies")
 
 
 def shares(mixed: DataFrame, targets: list[tuple[str, float, int]]) -> DataFrame:
