@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from codeloom.functions import text as T
-from codeloom.tables import written
+from codeloom.tables import written, written_and_counted
 
 MAX_DEPTH = 3
 
@@ -38,18 +38,23 @@ def reachable(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return found.where("source <> target").groupBy("project", "source", "target").agg(F.min("depth").alias("depth"))
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have both incoming and outgoing edges."""
+    sources = edges.select("project", F.col("source").alias("_n")).distinct()
+    both = sources.join(edges.select("project", F.col("target").alias("_n")).distinct(), ["project", "_n"])
+    return edges.join(both.withColumnRenamed("_n", "source"), ["project", "source"], "left_semi").join(
+        both.withColumnRenamed("_n", "target"), ["project", "target"], "left_semi")
+
+
 def _core(edges: DataFrame) -> DataFrame:
-    """Edges left when nodes without incoming or outgoing edges are dropped again and again: all cycles lie in them."""
-    rest = written(edges.select("project", "source", "target").distinct(), "core")
-    size = rest.count()
+    """Edges left when nodes without incoming or outgoing edges are dropped again and again: all cycles lie in them.
+
+    The state of this and the other loops is written once a round and counted on the way.
+    """
+    columns = edges.columns
+    rest, size = written_and_counted(edges.distinct(), "core")
     while size:
-        sources = rest.select("project", F.col("source").alias("_n")).distinct()
-        targets = rest.select("project", F.col("target").alias("_n")).distinct()
-        both = sources.join(targets, ["project", "_n"])
-        kept = rest.join(both.withColumnRenamed("_n", "source"), ["project", "source"], "left_semi").join(
-            both.withColumnRenamed("_n", "target"), ["project", "target"], "left_semi")
-        rest = written(kept, "core")
-        left = rest.count()
+        rest, left = written_and_counted(_trimmed(rest).select(*columns), "core")
         if left == size:
             break
         size = left
@@ -58,58 +63,52 @@ def _core(edges: DataFrame) -> DataFrame:
 
 def cyclic_projects(edges: DataFrame) -> DataFrame:
     """(project): projects whose graph has a cycle; an edge from a node to itself is one."""
-    return _core(edges).select("project").distinct()
+    return _core(edges.select("project", "source", "target")).select("project").distinct()
+
 
+def _least(value: DataFrame, step: DataFrame) -> DataFrame:
+    """(project, node, value): the least value that reaches each node along ``step`` (project, source, target).
 
-def _spread(value: DataFrame, step: DataFrame, best: str) -> DataFrame:
-    """Smallest or greatest value that reaches each node along ``step`` (project, source, target)."""
-    pick = F.min if best == "min" else F.max
+    Only nodes whose value changed send it on.
+    """
+    changed = value
     while True:
-        sent = value.select("project", F.col("node").alias("source"), "value").join(step, ["project", "source"]).select(
-            "project", F.col("target").alias("node"), "value")
-        merged = value.unionByName(sent).groupBy("project", "node").agg(pick("value").alias("value"))
-        merged = written(merged, "spread")
-        changed = merged.join(value.withColumnRenamed("value", "_old"), ["project", "node"]).where("value <> _old").limit(1).count()
-        value = merged
-        if not changed:
+        sent = changed.select("project", F.col("node").alias("source"), "value").join(step, ["project", "source"]).select(
+            "project", F.col("target").alias("node"), "value", F.lit(None).cast("string").alias("_first"))
+        state, moved = written_and_counted(value.withColumn("_first", F.col("value")).unionByName(sent).groupBy("project", "node").agg(
+            F.min("value").alias("value"), F.max("_first").alias("_first")), "least", F.col("value") != F.col("_first"))
+        value, changed = state.select("project", "node", "value"), state.where("value <> _first")
+        if not moved:
             return value
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(project, node, component): nodes on cycles by their strongly connected component, named by its least node.
 
-    Nodes that lie on no cycle are left out.  Each round colours every node with the least node that reaches it; the
-    nodes that reach their colour's own node back within the colour are one component.
+    Nodes that lie on no cycle are left out.  In each round every node learns the least node that it is reached by and
+    the least node that it reaches.  Where both are one node, that is its component; edges between nodes that differ in
+    either lie in no component and are dropped.
     """
-    rest, done = _core(edges), None
+    rest = _core(edges.select("project", "source", "target").where("source is not null and target is not null"))
+    done = rest.select("project", F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
     while not rest.isEmpty():
-        step = rest.select("project", "source", "target")
-        ends = step.select("project", F.col("source").alias("node")).union(step.select("project", "target")).distinct()
-        colour = _spread(ends.withColumn("value", F.col("node")), step, "min")
-        c = colour.select("project", F.col("node").alias("source"), F.col("value").alias("_cs"))
-        d = colour.select("project", F.col("node").alias("target"), F.col("value").alias("_ct"))
-        inner = step.join(c, ["project", "source"]).join(d, ["project", "target"]).where("_cs = _ct")
-        back = written(inner.select("project", F.col("target").alias("source"), F.col("source").alias("target")), "back")
-        # From each colour's own node along reversed edges.
-        reached = colour.where("node = value")
-        while True:
-            more = reached.select("project", F.col("node").alias("source"), "value").join(back, ["project", "source"]).select(
-                "project", F.col("target").alias("node"), "value")
-            grown = written(reached.select("project", "node", "value").unionByName(more).distinct(), "reached")
-            if grown.count() == reached.count():
-                break
-            reached = grown
-        loops = edges.where("source = target").select("project", F.col("source").alias("node")).distinct()
-        sized = reached.groupBy("project", "value").agg(F.count(F.lit(1)).alias("_n"))
-        real = reached.join(sized, ["project", "value"]).join(loops.withColumn("_loop", F.lit(True)), ["project", "node"], "left")
-        real = real.where("_n > 1 or _loop").select("project", "node", F.col("value").alias("component"))
-        done = real if done is None else done.unionByName(real)
-        gone = reached.select("project", "node")
-        rest = _core(rest.join(gone.withColumnRenamed("node", "source"), ["project", "source"], "left_anti").join(
-            gone.withColumnRenamed("node", "target"), ["project", "target"], "left_anti"))
+        ends = rest.select("project", F.col("source").alias("node")).union(rest.select("project", "target")).distinct()
+        start = ends.withColumn("value", F.col("node"))
+        forth = _least(start, rest)
+        back = _least(start, rest.select("project", F.col("target").alias("source"), F.col("source").alias("target")))
+        known = written(forth.withColumnRenamed("value", "_f").join(back.withColumnRenamed("value", "_b"), ["project", "node"]), "known")
+        found = known.where("_f = _b").select("project", "node", F.col("_f").alias("component"))
+        # A node alone is a component only if it has an edge to itself.
+        inside = rest.join(found.withColumnRenamed("node", "source"), ["project", "source"]).join(
+            found.select("project", F.col("node").alias("target"), F.col("component").alias("_c")), ["project", "target"]).where("component = _c")
+        cyclic = inside.select("project", "component").distinct()
+        done = done.unionByName(found.join(cyclic, ["project", "component"], "left_semi").select("project", "node", "component"))
+        open_ = known.where("_f <> _b")
+        left = rest.join(open_.select("project", F.col("node").alias("source"), F.col("_f").alias("_sf"), F.col("_b").alias("_sb")),
+                         ["project", "source"]).join(
+            open_.select("project", F.col("node").alias("target"), F.col("_f").alias("_tf"), F.col("_b").alias("_tb")), ["project", "target"])
+        rest = _core(left.where("_sf = _tf and _sb = _tb").select("project", "source", "target"))
         done = written(done, "components")
-    if done is None:
-        return edges.select("project", F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
     return done
 
 
@@ -130,9 +129,9 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     reached = [level]
     while True:
         depth += 1
-        frontier = written(frontier.withColumnRenamed("node", "source").join(step, ["project", "source"]).select(
+        frontier, size = written_and_counted(frontier.withColumnRenamed("node", "source").join(step, ["project", "source"]).select(
             "project", F.col("target").alias("node")).distinct(), "frontier")
-        if frontier.isEmpty():
+        if not size:
             break
         reached.append(frontier.withColumn("level", F.lit(depth)))
     union = reached[0]

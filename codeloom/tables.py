@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -34,6 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_and_counted(df: DataFrame, name: str, where: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`written`, and the number of rows (that satisfy ``where``), counted while they are written."""
+    seen = Observation()
+    counted = F.count(F.lit(1)) if where is None else F.count_if(where)
+    out = written(df.observe(seen, counted.alias("n")), name)
+    return out, seen.get["n"]
+
+
 def checkpoint_dir_set(spark: SparkSession) -> None:
     """Point ``DataFrame.checkpoint`` at the shared folder."""
     sc = spark.sparkContext
