@@ -71,7 +71,8 @@ def scan_archives(spark: SparkSession, root: str, suffix: str = ".java") -> Data
                         rows = [(os.path.basename(path)[:-4], n[cut:], z.read(n).decode("utf-8", "replace")) for n in kept]
                 except (zipfile.BadZipFile, OSError):
                     continue
-                yield pd.DataFrame(rows, columns=["project", "file_path", "raw_source"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["project", "file_path", "raw_source"])
 
     return archives.select("path", "content").mapInPandas(run, "project string, file_path string, raw_source string")
 
