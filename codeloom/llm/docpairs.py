@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,9 +72,10 @@ def source_descriptions(methods: DataFrame) -> DataFrame:
         for pdf in batches:
             comments = [islands.header_comment(s) for s in pdf["code"]]
             real = [is_description(c, q) for c, q in zip(comments, pdf["qualified_name"])]
-            out = pdf[real].copy()
+            out = pdf.loc[np.array(real, bool)].copy()
             out["description"] = [prose(c) for c, ok in zip(comments, real) if ok]
-            yield out
+            if len(out):
+                yield out
 
     rows = methods.select("method_id", "qualified_name", F.col("source_code").alias("code")).where(
         "method_id is not null and code is not null")
@@ -86,8 +88,9 @@ def conversion_descriptions(conversions: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             real = [is_description(t, q) for t, q in zip(pdf["documentation"], pdf["qualified_name"])]
-            out = pdf[real]
-            yield pd.DataFrame({"method_id": out["method_id"], "description": [prose(t) for t in out["documentation"]]})
+            out = pdf.loc[np.array(real, bool)]
+            if len(out):
+                yield pd.DataFrame({"method_id": out["method_id"], "description": [prose(t) for t in out["documentation"]]})
 
     rows = conversions.select("method_id", "qualified_name", "documentation").where(
         "method_id is not null and documentation is not null")
@@ -131,7 +134,8 @@ def file_pairs(files: DataFrame) -> DataFrame:
                 for f in islands.functions(path, source)
                 if is_description(f.comment, f.qualified_name)
             ]
-            yield pd.DataFrame(rows, columns=["file_id", "qualified_name", "start_line", "code", "description"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["file_id", "qualified_name", "start_line", "code", "description"])
 
     rows = files.select("file_id", "file_path", "raw_source").where(
         F.col("raw_source").isNotNull() & F.lower("file_path").rlike(r"\.(java|js|py)$"))

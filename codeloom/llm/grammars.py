@@ -48,7 +48,9 @@ _POST = r"(?:\.N?i|[pP]|B|u|Mi|MN|\.n)"
 _OPD = rf"(?:N{_T}(?:[pP]o?|o)?|(?:i|n|P|o|t(?=[.BM]))|pL[io n])"
 _UNARY = r"(?:[!+u]|P(?=[iNnPpo!]))*"
 _UNIT = rf"{_UNARY}{_OPD}{_POST}*"
-_X = rf"(?:{_UNIT}(?:(?:[b+<>=?:L]{_UNARY}{_OPD}{_POST}*)|Om*{_T}(?:i|P)?)*)"
+_X = rf"(?:{_UNIT}(?:(?:(?:>{{1,3}}|[b+<=?:L]){_UNARY}{_OPD}{_POST}*)|Om*{_T}(?:i|P)?)*)"
+# An expression is a statement only if it assigns, counts, calls or makes something.
+_XS = rf"(?=[^;]*[=u][^;]*;|[^;]*i[pP];|N[^;]*[pPo];){_X}"
 _VAR = rf"iB*(?:={_X})?(?:,iB*(?:={_X})?)*"
 _DECL = rf"m*{_T}{_VAR}"
 _PARAM = rf"m*{_T}~?iB*"
@@ -56,7 +58,7 @@ _LEAD = r"(?:IP|WP|FP|EIP|E|D|i:)*"
 _LABEL = rf"(?:(?:K(?:{_X}|m*{_T}i)(?:,{_X})*|d):)*"
 _ARROW = rf"(?:K(?:{_X}|m*{_T}i)(?:,{_X})*|d|K?n,d)L"
 _JAVA_STATEMENT = re.compile(
-    rf"{_LABEL}{_LEAD}(?:;|R(?:{_X})?;|T{_X};|Ji?;|A{_X}(?::{_X})?;|{_DECL};|{_X};|C|SPC|YP?C|HPC|ZC|sPC|m*ci(?:x{_TS})*C|m*ri[pP](?:x{_TS})*C)"
+    rf"{_LABEL}{_LEAD}(?:;|R(?:{_X})?;|T{_X};|Ji?;|A{_X}(?::{_X})?;|{_DECL};|{_XS};|C|SPC|YP?C|HPC|ZC|sPC|m*ci(?:x{_TS})*C|m*ri[pP](?:x{_TS})*C)"
     rf"|{_ARROW}(?:T?{_X};|C)|WP;|{_LABEL}")
 _JAVA_MEMBER = re.compile(
     rf"m*(?:;|C|{_T}{_VAR};|(?:d?){_T}i[pP]B*(?:w{_TS})?(?:C|;|d(?:{_X}|n);)|i[pP](?:w{_TS})?C|iC|ci(?:x{_TS})*C|ri[pP](?:x{_TS})*C)"
@@ -73,7 +75,7 @@ _JAVA_LIST = re.compile(rf"{_X}(?:,{_X})*|{_PARAM}(?:,{_PARAM})*|{_TS}")
 _JAVA_INDEX = re.compile(rf"(?:{_X})?")
 _JAVA_ARRAY = re.compile(rf"(?:{_X}(?:,{_X})*,?)?")
 _ANNOTATION = re.compile(r"@i(?:\.i)*[pP]?")
-_GENERIC = re.compile(r"(?<=[im;{}(,=.NM@R<?])<(?:(?:m*[it](?:\.i)*B*|\?)(?:x[it](?:\.i)*B*(?:b[it])*)?(?:,(?:m*[it](?:\.i)*B*|\?)(?:x[it](?:\.i)*B*)?)*)?>|^<(?:i(?:x[it](?:\.i)*)?,?)+>")
+_GENERIC = re.compile(r"(?<=[im;{}(,=.NM@R<?CL])<(?:(?:m*[it](?:\.i)*B*|\?)(?:[xi][it](?:\.i)*B*(?:b[it])*)?(?:,(?:m*[it](?:\.i)*B*|\?)(?:[xi][it](?:\.i)*B*)?)*)?>|^<(?:i(?:x[it](?:\.i)*)?,?)+>")
 
 
 class _Frame:
@@ -204,7 +206,7 @@ def _java_group(role: str, s: str) -> bool:
 
 
 # --- JavaScript -----------------------------------------------------------------------------------------------------
-_JPOST = r"(?:\.[a-zA-Z#]|[pP]|B|u|n(?=$)|\.[pPB])"
+_JPOST = r"(?:\.[a-zA-Z#]|[pP]|B|u|\.[pPB])"
 _JOPD = r"(?:i|n|P|B|o|p(?=L))"
 _JUNIT = rf"[!+u~]*{_JOPD}{_JPOST}*"
 _JX = rf"(?:{_JUNIT}(?:[b+<>=?:L]{_JUNIT})*)"
@@ -215,7 +217,7 @@ _JLABEL = rf"(?:(?:K{_JXS}|d):)*"
 _JS_STATEMENT = re.compile(
     rf"{_JLABEL}{_JLEAD}(?:;|R(?:{_JXS})?;|T{_JXS};|Ji?;|{_JVAR};|{_JXS};|C|SPC|YC|HP?C|ZC|f\*?i[pP]C|ci(?:x{_JX})?C|q.*;|ed?(?:{_JVAR};|{_JXS};|f\*?i?[pP]C|ci?(?:x{_JX})?C|o(?:in)?;|b(?:ii)?in;))|WP;|{_JLABEL}")
 _JS_PARENS = {
-    "F": re.compile(rf"(?:{_JVAR}|{_JXS})?;(?:{_JXS})?;(?:{_JXS})?|v?{_JUNIT}(?:b|i){_JX}|v?{_JUNIT}"),
+    "F": re.compile(rf"(?:{_JVAR}|{_JXS})?;(?:{_JXS})?;(?:{_JXS})?|v?{_JUNIT}(?:b|i){_JX}"),
     "H": re.compile(r"[iBo]"), "I": re.compile(_JXS), "W": re.compile(_JXS), "S": re.compile(_JXS),
 }
 _JS_LIST = re.compile(rf"(?:{_JXS}),?")
@@ -223,6 +225,7 @@ _JS_ARRAY = re.compile(rf"(?:(?:{_JX})?,)*(?:{_JX})?")
 _KEY = r"(?:[a-zA-Z#!]|B)"
 _JS_OBJECT = re.compile(
     rf"(?:(?:{_KEY}:{_JX}|~{_JX}|i(?:={_JX})?|[nv]|(?:i|b|{_KEY})?{_KEY}[pP]C)(?:,|$))*")
+_JS_NAMES = re.compile(r"(?:[ind](?:i[ind])?,)*(?:[ind](?:i[ind])?)?")
 _JS_MEMBER = re.compile(rf"(?:[ib]*{_KEY}[pP]C|i*{_KEY}(?:={_JX})?;|iC|;)")
 _ENDS_OPERAND = frozenset("inPpBouJC")
 _STARTS = frozenset("invfcIWFDSRTJYqe!KdE")
@@ -230,6 +233,8 @@ _STARTS = frozenset("invfcIWFDSRTJYqe!KdE")
 
 def _js_braces_role(s: str, parent: str, before: str) -> str:
     tail = re.split(r"[;C]", s)[-1]
+    if parent == "block" and re.fullmatch(r"q(?:i,)?|e", tail):
+        return "names"
     if re.search(r"ci?(?:x.*)?$", tail):
         return "class"
     if re.search(r"f\*?b?i?[pP]$", tail):
@@ -269,16 +274,18 @@ def js_valid(source: str) -> bool:
                 c = "i"
         elif t.kind in ("number", "string"):
             c = "n"
+            if t.text[0] == "`" and top and top[-1] in "ipPB" and not (t.newline and blockish):
+                c = "p"  # a tagged template is a call
         elif t.kind == "op":
             c = _op(t.text)
-            if t.text == "*" and top[-1:] == ["f"]:
+            if t.text == "*" and (top[-1:] == ["f"] or k and found[k - 1].text == "yield"):
                 continue
         elif t.kind == "open":
             c = t.text
         else:
             c = ""
         if blockish and t.newline and top and top[-1] in _ENDS_OPERAND and (c in _STARTS or c in ("{", "u")) and top[-1] != "C":
-            if not (c == "{" and top[-1] in "pP") and c != "E":
+            if not (c == "{" and top[-1] in "pP"):
                 top.append(";")
         if t.kind == "open":
             role = t.text
@@ -310,7 +317,7 @@ def js_valid(source: str) -> bool:
             else:
                 joined = "".join(up)
                 up.append("C")
-                if frame.role in ("object", "arrow"):
+                if frame.role in ("object", "arrow", "names"):
                     up[-1] = "o"
                 elif frame.role in ("function", "class"):
                     head = re.search(r"(?:fi?[pP]|ci?(?:x[^;C]*)?)$", joined)
@@ -333,12 +340,16 @@ def _arrow_follows(found: list, at: int) -> bool:
 
 
 def _js_group(role: str, s: str) -> bool:
-    if role == "object":
-        return bool(_JS_OBJECT.fullmatch(s))
+    if role in ("object", "names"):
+        return bool((_JS_OBJECT if role == "object" else _JS_NAMES).fullmatch(s))
     if s and s[-1] not in ";C":
         s += ";"
     pattern = _JS_MEMBER if role == "class" else _JS_STATEMENT
-    return all(map(pattern.fullmatch, _split(s))) and s.count("E") <= s.count("I")
+    parts = _split(s)
+    if not all(map(pattern.fullmatch, parts)) or s.count("E") > s.count("I"):
+        return False
+    # A colon belongs to a question mark, a case, a default or a label.
+    return all(x.count(":") <= x.count("?") + x.count("K") + x.count("d:") + len(re.findall(r"(?:^|[:PDE])i(?=:)", x)) for x in parts if ":" in x)
 
 
 # --- Python and JSON ------------------------------------------------------------------------------------------------

@@ -23,7 +23,7 @@ _SHORE = re.compile(
       |(?P<literal>\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*(?:`|\Z))
       |(?P<note>@(?!interface\b)\w[\w.]*)
       |(?P<word>[^\W\d][\w$]*)
-      |(?P<mark>[{}();,=]|->|=>)""",
+      |(?P<mark>=>|->|[{}();,=])""",
     re.S | re.X,
 )
 # Words that open blocks which are no functions, and words that open a type.

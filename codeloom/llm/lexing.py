@@ -20,7 +20,8 @@ _LEXERS = {
         r"|(?P<op>->|::|\.\.\.|\+\+|--|>>>=|<<=|>>=|[-+*/%&|^]=|==|!=|<=|>=|&&|\|\||<<|[-+*/%&|^!~<>=?:;,.@])", re.S | re.X),
     "js": re.compile(
         r"(?P<space>\s+|//[^\n]*|/\*.*?\*/|\#![^\n]*)|(?P<comment>/\*)"
-        r"|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<long1>`)|" + _COMMON +
+        r"|(?P<string>\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
+        r"|`(?>\\.|\$\{(?>[^`{}]|`(?>\\.|[^`\\])*+`|\{[^{}]*\})*+\}|[^`\\])*+`)|(?P<long1>`)|" + _COMMON +
         r"|(?P<op>=>|\.\.\.|\?\.(?!\d)|\+\+|--|\*\*=|\*\*|>>>=|<<=|>>=|&&=|\|\|=|\?\?=|\?\?|[-+*/%&|^]=|===|!==|==|!=|<=|>=|&&|\|\||<<|>>>|>>|[-+*/%&|^!~<>=?:;,.@])",
         re.S | re.X),
     "py": re.compile(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,7 +78,7 @@ def ungrammatical(judged: DataFrame) -> DataFrame:
         for pdf in batches:
             bad = [not grammars.VALID[kind](text[1:] if text[:1] == "﻿" and kind in ("py", "js") else text)
                    for kind, text in zip(pdf["language"], pdf["raw_source"])]
-            yield pdf.loc[bad, ["file_id"]]
+            yield pdf.loc[np.array(bad, bool), ["file_id"]]
 
     return judged.select("file_id", "language", "raw_source").mapInPandas(run, "file_id bigint").distinct()
 

@@ -215,10 +215,12 @@ def swept(owners: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
             low: Counter[str] = Counter()
             for w, n in counts.items():
                 low[w.lower()] += n
-            yield pd.DataFrame({"word": list(low), "n": list(low.values())}).assign(
-                owner=None, owner_id=None, name=None, line_no=None, value=None, spans=None)
-            yield pd.DataFrame(rows, columns=["owner", "owner_id", "name", "line_no", "value", "spans"]).assign(
-                word=None, n=None)
+            if low:
+                yield pd.DataFrame({"word": list(low), "n": list(low.values())}).assign(
+                    owner=None, owner_id=None, name=None, line_no=None, value=None, spans=None)
+            if rows:
+                yield pd.DataFrame(rows, columns=["owner", "owner_id", "name", "line_no", "value", "spans"]).assign(
+                    word=None, n=None)
 
     texts = None
     for owner, df, key, text in owners:
