@@ -161,7 +161,7 @@ def described(files: DataFrame) -> DataFrame:
             who, rule, size = phrases(symbols, owner)
             cuts = np.searchsorted(who, np.arange(len(rows) + 1))
             out = pd.DataFrame(rows, columns=["file_id", "project", "suffix", "tokens", "blanks", "literal_chars", "token_chars", "literals",
-                                              "new_literals", "told"])
+                                              "new_literals", "told", "markup"])
             out["reuse"] = reuse
             out["phrases"] = [[{"rule": r, "size": z} for r, z in zip(rule[a:b].astype(np.int64).tolist(), size[a:b].tolist())]
                               for a, b in zip(cuts, cuts[1:])]
@@ -180,7 +180,7 @@ def described(files: DataFrame) -> DataFrame:
                 literals = [t for t, e in zip(found, each) if e[2]]
                 rows.append((i, project, suffix, len(found), sum(map(text.count, " \n\t\r")) / max(1, len(text)),
                              sum(e[2] for e in each), sum(map(len, found)), len(literals), len(set(literals)),
-                             bool(_TOLD.search(text[:600]))))
+                             bool(_TOLD.search(text[:600])), text.lstrip()[:1] in ("<", "{")))
                 hashes.append([e[0] for e in each])
                 kinds.append([e[1] for e in each])
             if rows:
@@ -191,21 +191,21 @@ def described(files: DataFrame) -> DataFrame:
         F.col("file_id").isNotNull() & F.col("raw_source").isNotNull() & F.col("suffix").isin("java", "js", "py"))
     return code.mapInPandas(
         run, "file_id bigint, project string, suffix string, tokens bigint, blanks double, literal_chars bigint, token_chars bigint,"
-             " literals bigint, new_literals bigint, told boolean, reuse double, phrases array<struct<rule:bigint,size:bigint>>")
+             " literals bigint, new_literals bigint, told boolean, markup boolean, reuse double, phrases array<struct<rule:bigint,size:bigint>>")
 
 
 def kind(shared: Column, library: Column) -> Column:
     """The kind of a described file, or null for hand-written source.
 
     minified: a script with hardly any blanks.  data: literals in bulk, most of them new and no running text, with little
-    code around them.  generated: a small
-    grammar, or a rather small one in a file that says so at its top.  vendored: mostly rules that other projects have
+    code around them.  generated: a small grammar, or a rather small one in a file that says so at its top; markup and
+    JSON saved under a code suffix repeat themselves too and are none.  vendored: mostly rules that other projects have
     too, or a library's own banner or versioned folder.
     """
     data = ((F.col("literal_chars") >= DATA_SHARE * F.col("token_chars")) & (F.col("literal_chars") >= DATA_CHARS)
             & (F.col("new_literals") >= DATA_NEW * F.col("literals"))
             & ((F.col("literals") >= DATA_TOKENS * F.col("tokens")) | (F.col("tokens") - F.col("literals") <= DATA_FRAME)))
-    generated = (F.col("tokens") >= GENERATED_TOKENS) & (
+    generated = (F.col("tokens") >= GENERATED_TOKENS) & ~F.col("markup") & (
         (F.col("reuse") < GENERATED_REUSE) | (F.col("told") & (F.col("reuse") < GENERATED_TOLD)))
     return (
         F.when((F.col("suffix") == "js") & (F.col("blanks") < MINIFIED_BLANKS) & (F.col("tokens") >= 50), "minified")
