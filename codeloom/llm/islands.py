@@ -6,6 +6,7 @@ Islands are comments, annotations, signatures and balanced bodies; all else is w
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -57,6 +58,10 @@ def header_comment(code: str) -> str | None:
     return "\n".join(found) or None
 
 
+def _line_ends(source: str) -> list[int]:
+    return [m.start() for m in re.finditer("\n", source)]
+
+
 def _closing(tokens: list[re.Match], at: int) -> int:
     depth = 0
     for i in range(at, len(tokens)):
@@ -89,7 +94,7 @@ def _name(head: list[re.Match]) -> str | None:
 
 def brace_functions(source: str) -> Iterator[Function]:
     """Functions of a Java or JavaScript source whose body is balanced."""
-    tokens = list(_SHORE.finditer(source))
+    tokens, ends = list(_SHORE.finditer(source)), _line_ends(source)
     scopes: list[str | None] = []
     head: list[re.Match] = []
     i = 0
@@ -110,9 +115,9 @@ def brace_functions(source: str) -> Iterator[Function]:
                 end = _closing(tokens, i)
                 if end > 0:
                     first = core[0].start()
-                    comment = header_comment(source[head[0].start():])
+                    comment = header_comment(source[head[0].start():t.end()])
                     owner = [s for s in scopes if s]
-                    yield Function(".".join([*owner[-1:], name]), source.count("\n", 0, first) + 1,
+                    yield Function(".".join([*owner[-1:], name]), bisect_left(ends, first) + 1,
                                    source[first:tokens[end].end()], comment)
                     i = end
                 else:
@@ -149,7 +154,7 @@ _DOCSTRING = re.compile(r"\s*[rRuU]?(\"\"\"|''')(.*?)\1", re.S)
 
 def python_functions(source: str) -> Iterator[Function]:
     """Functions of a Python source; the docstring documents them, else the comment lines above."""
-    lines = source.split("\n")
+    lines, ends = source.split("\n"), _line_ends(source)
     owners: list[tuple[int, str]] = []
     for m in _DEF.finditer(source):
         indent, kind, name = len(m[1].expandtabs()), m[2], m[3]
@@ -158,7 +163,7 @@ def python_functions(source: str) -> Iterator[Function]:
         if kind == "class":
             owners.append((indent, name))
             continue
-        first = source.count("\n", 0, m.start())
+        first = bisect_left(ends, m.start())
         depth, at = 0, source.find("(", m.end())
         while 0 <= at < len(source):  # to the end of the signature
             depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(source[at], 0)
@@ -167,7 +172,7 @@ def python_functions(source: str) -> Iterator[Function]:
             at += 1
         if at < 0 or at >= len(source):
             continue
-        last = source.count("\n", 0, at) + 1
+        last = bisect_left(ends, at) + 1
         while last < len(lines) and (not lines[last].strip() or
                                      len(lines[last].expandtabs()) - len(lines[last].expandtabs().lstrip()) > indent):
             last += 1

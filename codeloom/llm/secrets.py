@@ -45,7 +45,8 @@ _FIXED = re.compile(r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-
                     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$")
 _HINT = re.compile(r"(?i)pass|pwd|secret|token|key|auth|credential|login|dsn|://[^\s/@'\"]+@|eyJ")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?", re.S)
-_URL = re.compile(r"[A-Za-z][\w+.-]*://[^\s/:@\"']*:([^\s/@\"']+)@|[?&](?:api_?key|token|access_token|secret|password|sig)=([^&\s\"'#]+)")
+_URL = re.compile(r"(?<![\w+.-])[A-Za-z][\w+.:-]{0,40}://[^\s/:@\"']*:([^\s/@\"']+)@|[?&](?:api_?key|token|access_token|secret|password|sig)=([^&\s\"'#]+)")
+_SIGNED = re.compile(r"[\"'`](eyJ[A-Za-z0-9+/=_-]*\.[A-Za-z0-9+/=._-]{20,})[\"'`]")
 _SCHEME = re.compile(r"\b(?:Bearer|Basic|Token)\s+([A-Za-z0-9+/=._~-]{8,})")
 _REMARK = re.compile(
     r"(?i)(?://|#|\*|--|<!--)[^\n]*?\b(?:login|password|passwd|pwd|credentials?|secret|token|api key)\b[^:=\n/\"']{0,15}[:=]\s*([^\s/\"']+)(?:[ \t]*/[ \t]*(\S+))?")
@@ -157,9 +158,8 @@ def candidates(text: str) -> list[tuple[str, int, str, list[int]]]:
         for name, spans in _named(text, start, stop):
             if not any(a <= spans[0][0] < b for a, b in taken):
                 add(name, spans)
-        for m in re.finditer(r"[\"'`]([A-Za-z0-9_\-]{2,}[._-][A-Za-z0-9+/=._-]{20,})[\"'`]", line):
-            if m[1].startswith("eyJ"):
-                add("", [(start + m.start(1), start + m.end(1))])
+        for m in _SIGNED.finditer(line):
+            add("", [(start + m.start(1), start + m.end(1))])
     return [(name, text.count("\n", 0, at) + 1, value, [x for s in spans for x in s])
             for at, (name, value, spans) in sorted(out.items())]
 

@@ -75,6 +75,9 @@ def super_kmers(texts: list[str], span: int, anchor: int) -> tuple[np.ndarray, n
     # A new super-k-mer starts where the minimiser or the text changes. Equal hashes in a row are one bucket anyway.
     first = whole.copy()
     first[1:] &= ~whole[:-1] | (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+    # Periodic text keeps one minimiser on and on; such runs are cut, as equal windows meet in the bucket anyway.
+    at = np.arange(len(least))
+    first |= whole & ((at - np.maximum.accumulate(np.where(first, at, 0))) % (2 * (span - anchor + 1)) == 0)
     starts = np.flatnonzero(first)
     stops = np.flatnonzero(whole & ~np.concatenate([whole[1:] & ~first[1:], [False]]))
     who = owner[starts]
