@@ -44,7 +44,7 @@ def scored_dependencies(edges: DataFrame, methods: DataFrame) -> DataFrame:
     mine = edges.join(own, ["project", "source"], "left_semi")
     direct = mine.select("project", F.col("source").alias("target"), F.col("target").alias("dep_id"), worth.alias("score"),
                          F.lit("direct").alias("label"))
-    far = reachable(edges).where("depth > 1").join(own, ["project", "source"], "left_semi").select(
+    far = reachable(edges, sources=own).where("depth > 1").select(
         "project", F.col("source").alias("target"), F.col("target").alias("dep_id"),
         F.lit(OTHER_WORTH * STEPS_WORTH).alias("score"), F.lit("transitive").alias("label"))
     return direct.unionByName(far).groupBy("project", "target", "dep_id").agg(

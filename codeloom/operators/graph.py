@@ -25,10 +25,13 @@ def dependents(edges: DataFrame) -> DataFrame:
     return edges.select("project", F.col("target").alias("node"), F.col("source").alias("dependent")).distinct()
 
 
-def reachable(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(project, source, target, depth): nodes within ``max_depth`` steps of each node but itself, with their distance."""
+def reachable(edges: DataFrame, max_depth: int = MAX_DEPTH, sources: DataFrame | None = None) -> DataFrame:
+    """(project, source, target, depth): nodes within ``max_depth`` steps of each node but itself, with their distance.
+
+    With ``sources`` (project, source) the search starts from those nodes only.
+    """
     step = edges.select("project", "source", "target").where("source is not null and target is not null").distinct()
-    found = step.withColumn("depth", F.lit(1))
+    found = (step if sources is None else step.join(sources, ["project", "source"], "left_semi")).withColumn("depth", F.lit(1))
     frontier = found
     for depth in range(2, max_depth + 1):
         frontier = frontier.select("project", "source", F.col("target").alias("_via")).join(
