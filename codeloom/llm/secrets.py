@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,15 +44,32 @@ _PLACEHOLDER = re.compile(
 _DIGEST = re.compile(r"^(?:(?:md5|sha\d*|sha-\d+)[:=-]?.*|\$2[aby]\$.*|\$argon2.*|\$[156]\$.*)$", re.I)
 _FIXED = re.compile(r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
                     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$")
-_HINT = re.compile(r"(?i)pass|pwd|secret|token|key|auth|credential|login|dsn|://[^\s/@'\"]+@|eyJ")
+_HINT = re.compile(
+    r"(?i)pass|pwd|secret|token|key|auth|credential|login|dsn|bearer|basic\s|sig=|://[^\s/@'\"]+@|eyJ"
+    r"|(?-i:(?<![a-z])pin(?![a-z])|Pin(?![a-z])|PIN(?![A-Za-z]))")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?", re.S)
 _URL = re.compile(r"(?<![\w+.-])[A-Za-z][\w+.:-]{0,40}://[^\s/:@\"']*:([^\s/@\"']+)@|[?&](?:api_?key|token|access_token|secret|password|sig)=([^&\s\"'#]+)")
 _SIGNED = re.compile(r"[\"'`](eyJ[A-Za-z0-9+/=_-]*\.[A-Za-z0-9+/=._-]{20,})[\"'`]")
 _SCHEME = re.compile(r"\b(?:Bearer|Basic|Token)\s+([A-Za-z0-9+/=._~-]{8,})")
+#: Literals, which hold no comment, and comments.
+_COMMENT = re.compile(
+    r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`|((?<!:)//[^\n]*|/\*.*?(?:\*/|$)|<!--.*?(?:-->|$)|#[^\n]*|--[^\n]*|^\s*\*.*?(?:\*/|$))")
 _REMARK = re.compile(
-    r"(?i)(?://|#|\*|--|<!--)[^\n]*?\b(?:login|password|passwd|pwd|credentials?|secret|token|api key)\b[^:=\n/\"']{0,15}[:=]\s*([^\s/\"']+)(?:[ \t]*/[ \t]*(\S+))?")
+    r"(?i)\b(?:login|password|passwd|pwd|credentials?|secret|token|api key)\b[^:=\n/\"']{0,15}[:=]\s*([^\s/\"']+)(?:[ \t]*/[ \t]*(\S+))?")
 _SETTING = re.compile(r"^\s*([\w.\-]+)\s*[:=]\s*([^\s\"'|>{\[][^\n]*?)\s*$")
-_PIECE = re.compile(r"\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`|([A-Za-z_$][\w$]*)|(;)")
+_PIECE = re.compile(r"\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`|([A-Za-z_$][\w$]*)|(;)|([(\[{])|([)\]}])|(,)")
+_BLOCK = re.compile(r"\s*(?:->[^:\n]*)?(?:\{|:[ \t\r]*\n|=>|throws\b)")
+_ASSIGNED = re.compile(r"\s*(?:=(?![=>])|:(?!:))")
+#: A literal of one long run, and a setting without quotes.
+_LONG = re.compile(r"[\"'`][^\s\"'`]{%d,}[\"'`]|^[ \t]*[\w.\-]+[ \t]*[:=][ \t]*[^\s\"'|>{\[(]\S{%d,}[ \t\r]*$" % (RESIDUAL_BARE, RESIDUAL_BARE - 1), re.M)
+_LITERAL = re.compile(r"\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`")
+_GIVEN = re.compile(r"(?:([\w.\-$]+)(?:\([^()]*\))?[\"'`]?\]?\s*)?(?:=>|[=:(,?]|\breturn)\s*$")
+_JOINED_ON = re.compile(r"[\"'`]\s*\+\s*(?:\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`)")
+_BESIDE = re.compile(r"\s*(?:,|[=!]=+)\s*([\w.$]+)\s*\(")
+# Fixed value: last words of names whose long values are no credentials.
+_NO_KEY = _OTHER_THING | frozenset(
+    "alphabet certificate cert charset chars checksum commit crc etag fingerprint guid image integrity md5 revision sha sha1 sha256"
+    " sha512 sum uuid version".split())
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
 _GOES_ON = ("=", "(", ",", "+", ":", "\\")
@@ -67,42 +85,126 @@ def tells(name: str) -> bool:
 
 
 def _named(text: str, start: int, end: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """(name, spans of the value) of the literals in ``text[start:end]`` that a telling name is given."""
+    """(name, spans of the value) of the literals in ``text[start:end]`` that a telling name is given.
+
+    A name holds until its statement, its argument list or its block ends, or another name is given a value.
+    """
     name: str | None = None
+    depth = held = 0
     letters: list[tuple[int, int]] = []
     spans: list[tuple[int, int]] = []
-    last_end = start
+    last_end, last_literal = start, False
+
+    def ended() -> Iterator[tuple[str, list[tuple[int, int]]]]:
+        nonlocal name, letters, spans
+        if spans and name:
+            yield name, spans
+        if len(letters) > 4 and name:
+            yield name, letters
+        name, letters, spans = None, [], []
+
     for m in _PIECE.finditer(text, start, end):
         between = text[last_end:m.start()]
-        last_end = m.end()
+        after_literal, last_end, last_literal = last_literal, m.end(), False
         if m[5]:
-            break
+            yield from ended()
+            continue
+        if m[6]:
+            depth += 1
+            continue
+        if m[7]:
+            depth -= 1
+            if depth < held and _BLOCK.match(text, m.end(), end):
+                yield from ended()  # parameters of a block
+            continue
+        if m[8]:
+            if depth < held:
+                yield from ended()
+            continue
         if m[4]:
             if tells(m[4]):
-                name = m[4]
+                if spans:
+                    yield from ended()
+                name, held = m[4], depth
+            elif name and not between.rstrip().endswith((":", ".")) and _ASSIGNED.match(text, m.end(), end) and "?" not in between:
+                yield from ended()  # another name is given a value
             continue
         g = 1 if m[1] is not None else 2 if m[2] is not None else 3
         value = m[g]
-        if re.fullmatch(r"[\w.\-]+", value) and tells(value) and re.match(r"\s*(?:[,:]|\]\s*=|\)?\s*=)", text[m.end():end]):
-            name = value
-            continue
-        if re.fullmatch(r"[\w.\-]+", value) and re.match(r"\s*(?::|\]\s*=)", text[m.end():end]):
-            name = None  # the key of another entry
-            continue
-        if name is None or _LOOKUP.search(text, start, m.start()):
+        chosen = "?" in between
+        if re.fullmatch(r"[\w.\-]+", value) and not chosen:
+            after = text[m.end():min(end, m.end() + 40)]
+            if tells(value) and re.match(r"\s*(?:[,:]|\]\s*=|\)?\s*=(?!=))", after):
+                yield from ended()
+                name, held = value, depth
+                if re.match(r"\s*\]", after):
+                    held -= 1
+                continue
+            if re.match(r"\s*(?::|\]\s*=(?!=))", after):
+                yield from ended()  # the key of another entry
+                continue
+        last_literal = True
+        if name is None or _LOOKUP.search(text[max(start, m.start() - 200):m.start()]):
             continue
         if len(value) == 1 and g == 2:
             letters.append(m.span(g))
-        elif re.fullmatch(r"\s*\+\s*", between) and spans:
+        elif spans and (re.fullmatch(r"\s*\+\s*", between) or after_literal and re.fullmatch(r"[\s\\+]*[fFrRbBuU]{0,2}", between)):
             spans.append(m.span(g))
         else:
             if spans and name.lower() != "login":
                 yield name, spans
             spans = [m.span(g)]
-    if spans and name:
-        yield name, spans
-    if len(letters) > 4 and name:
-        yield name, letters
+    yield from ended()
+
+
+def _statement_end(text: str, end: int) -> int:
+    """Where the statement ends that goes on at the line end ``end``."""
+    while True:
+        head = text[text.rfind("\n", 0, end) + 1:end].rstrip()
+        more = text[end + 1:end + 200]
+        if not (head.endswith(_GOES_ON) or re.match(r"\s*[+=]", more)
+                or head.endswith(("\"", "'")) and re.match(r"\s*[fFrRbBuU]{0,2}[\"']", more)):
+            return end
+        nxt = text.find("\n", end + 1)
+        if nxt < 0:
+            return len(text)
+        end = nxt
+
+
+def _long_literals(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Spans of literals and settings without a blank that are long enough for a credential without a telling name.
+
+    The pieces that are joined on to a literal belong to it.
+    """
+    done = -1
+    for hit in _LONG.finditer(text):
+        if hit.start() < done:
+            continue
+        start = text.rfind("\n", 0, hit.start() + 1) + 1
+        end = text.find("\n", hit.start() + 1)
+        done = end = len(text) if end < 0 else end
+        line = text[start:end]
+        m = _SETTING.match(line)
+        if m and not re.search(r"[\s;({,]", m[2]):
+            if not _other(m[1]):
+                yield [(start + m.start(2), start + m.end(2))]
+            continue
+        for m in _LITERAL.finditer(line):
+            g = 1 if m[1] is not None else 2 if m[2] is not None else 3
+            if len(m[g]) >= RESIDUAL_BARE and not re.search(r"\s", m[g]):
+                given = _GIVEN.search(line[max(0, m.start() - 80):m.start()])
+                beside = _BESIDE.match(line, m.end())  # compared with a digest
+                if given and not (given[1] and _other(given[1]) or beside and _other(beside[1])):
+                    spans = [(start + m.start(g), start + m.end(g))]
+                    while more := _JOINED_ON.match(text, spans[-1][1]):
+                        spans.append(more.span(more.lastindex))
+                    yield spans
+
+
+def _other(name: str) -> bool:
+    """Whether a name says that its value is another thing than a credential, however it looks."""
+    parts = [p.lower() for p in _NAME_PARTS.findall(name)]
+    return bool(parts) and (parts[-1] in _NO_KEY or "public" in parts or len(parts) > 1 and parts[-1].isdigit() and parts[-2] in _NO_KEY)
 
 
 def candidates(text: str) -> list[tuple[str, int, str, list[int]]]:
@@ -111,17 +213,28 @@ def candidates(text: str) -> list[tuple[str, int, str, list[int]]]:
     A name in angle brackets stands for a place that by itself holds credentials: <key>, <url>, <scheme>, <remark>.
     """
     out: dict[int, tuple[str, str, list[tuple[int, int]]]] = {}
-    taken: list[tuple[int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []
+
+    def is_taken(at: int) -> bool:
+        i = bisect_right(starts, at)
+        return i > 0 and at < ends[i - 1]
+
+    def take(a: int, b: int) -> None:
+        if not is_taken(a):
+            i = bisect_right(starts, a)
+            starts.insert(i, a)
+            ends.insert(i, b)
 
     def add(name: str, spans: list[tuple[int, int]]) -> None:
-        if spans[0][0] not in out and not any(a <= spans[0][0] < b for a, b in taken):
+        if spans[0][0] not in out and not is_taken(spans[0][0]):
             out[spans[0][0]] = (name, "".join(text[a:b] for a, b in spans), spans)
 
     if "PRIVATE KEY" in text:
         for m in _KEY_BLOCK.finditer(text):
             add("<key>", [m.span()])
-            taken.append(m.span())
-    done = -1
+            take(*m.span())
+    done = read = -1
     for hint in _HINT.finditer(text):
         if hint.start() < done:
             continue
@@ -130,38 +243,41 @@ def candidates(text: str) -> list[tuple[str, int, str, list[int]]]:
         end = len(text) if end < 0 else end
         done = end
         line = text[start:end]
-        if not any(c in line for c in "\"'`=:"):
-            continue
         for m in _URL.finditer(line):
             g = 1 if m[1] else 2
             add("<url>", [(start + m.start(g), start + m.end(g))])
-            taken.append((start + m.start(), start + m.end()))
+            take(start + m.start(), start + m.end())
         for m in _SCHEME.finditer(line):
             add("<scheme>", [(start + m.start(1), start + m.end(1))])
-            taken.append((start + m.start(), start + m.end(1)))
-        m = _REMARK.search(line)
-        if m and "://" not in line:
-            g = 2 if m[2] else 1
-            add("<remark>", [(start + m.start(g), start + m.end(g))])
+            take(start + m.start(), start + m.end(1))
+        if not any(c in line for c in "\"'`=:"):
             continue
+        for note in _COMMENT.finditer(line):
+            for m in _REMARK.finditer(note[1] or ""):
+                g = 2 if m[2] else 1
+                at = start + note.start(1)
+                add("<remark>", [(at + m.start(g), at + m.end(g))])
         m = _SETTING.match(line)
         if m and tells(m[1]) and not line.rstrip().endswith((";", "(", "{", ",")):
             add(m[1], [(start + m.start(2), start + m.end(2))])
-            continue
-        stop, more = end, 0
-        while more < 6 and text[start:stop].rstrip().endswith(_GOES_ON) or more < 6 and re.match(r"\s*\+\s*[\"']", text[stop + 1:stop + 200]):
-            nxt = text.find("\n", stop + 1)
-            if nxt < 0:
-                stop = len(text)
-                break
-            stop, more = nxt, more + 1
-        for name, spans in _named(text, start, stop):
-            if not any(a <= spans[0][0] < b for a, b in taken):
+        if start >= read:
+            read = _statement_end(text, end)
+            for name, spans in _named(text, start, read):
                 add(name, spans)
         for m in _SIGNED.finditer(line):
             add("", [(start + m.start(1), start + m.end(1))])
-    return [(name, text.count("\n", 0, at) + 1, value, [x for s in spans for x in s])
-            for at, (name, value, spans) in sorted(out.items())]
+    inside = sorted(s for _, _, spans in out.values() for s in spans)
+    for spans in _long_literals(text):
+        a, b = spans[0]
+        i = bisect_right(inside, (a, len(text)))
+        if not (i and a < inside[i - 1][1] or i < len(inside) and inside[i][0] < b):
+            add("", spans)
+    rows, line_no, last = [], 1, 0
+    for at, (name, value, spans) in sorted(out.items()):
+        line_no += text.count("\n", last, at)
+        last = at
+        rows.append((name, line_no, value, [x for s in spans for x in s]))
+    return rows
 
 
 def residual(value: str, bits: dict[str, float], longest: int) -> int:

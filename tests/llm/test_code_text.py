@@ -114,6 +114,20 @@ def test_secrets(spark):
     assert secrets.secrets([("files", df.limit(0), "file_id", "raw_source")]).count() == 0
 
 
+def test_every_statement_of_a_line_is_read():
+    def values(text):
+        return [c[2] for c in secrets.candidates(text)]
+
+    assert values('int n = 0; String password = "Xk9$w2!q"; String pin = "8843zq";') == ["Xk9$w2!q", "8843zq"]
+    assert "Xk9$w2!q" in values('password = "Xk9$w2!q"; // token: see wiki')
+    assert values('x=a*b,token:e.token;var password="Xk9$w2!q";') == ["Xk9$w2!q"]
+    assert values('u("https://h/x?a=1&sig=Ab3dE9")') == ["Ab3dE9"] and values('h.set("Bearer KS5IDvQrAX9NXKydiWCLje")') == ["KS5IDvQrAX9NXKydiWCLje"]
+    assert values('{\n  "a_pin_phrase": "Zk9x!!q",\n  "title": "Qwz"\n}') == ["Zk9x!!q"]
+    assert values('x = "Qw8$rT!2zN@5vB#9kL&4mP";') == ["Qw8$rT!2zN@5vB#9kL&4mP"]
+    for none in ('assertEquals("Y8X989TvRPNznW/o8bTv53cFiByRxZY3", digest(row));', 'assertEquals(digest(row), "Y8X989TvRPNznW/o8bTv53cFiByRxZY3");', 'function(password){return f("Qwz81$")}', 'f(password),g("Qwz$$$")'):
+        assert values(none) == [], none
+
+
 GOOD_JAVA = """package a; import b.*; import static c.D.e;
 /** x */ @A(v = {1, 2}, w = "}") public final class B<T extends C & D> extends E<T> implements F, G<H[]> {
   static final int[] T1 = {1, 2,}; private Map<String, List<? super T>> m = new HashMap<>() {{ put("a", null); }};
