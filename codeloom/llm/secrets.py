@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from codeloom.tables import written
 
-#: Words the dictionary keeps (the most frequent ones), and in how many places a word must stand at least.
+#: Words the dictionary keeps (the most frequent ones).
 DICTIONARY_WORDS = 50_000
-LEAST_COUNT = 5
 #: Unexplained characters that make a literal a credential: beside a telling name, and anywhere else.
 RESIDUAL_NAMED = 3
 RESIDUAL_BARE = 20
@@ -315,47 +314,70 @@ def is_secret(name: str, value: str, left: int) -> bool:
     return left >= RESIDUAL_NAMED
 
 
+def words_outside(text: str, spans: list[list[int]]) -> list[str]:
+    """The words of ``text`` outside of the candidates' values, which must not explain themselves."""
+    kept, at = [], 0
+    for a, b in sorted((s[i], s[i + 1]) for s in spans for i in range(0, len(s), 2)):
+        if b > at:
+            kept.append(text[at:a])
+            at = b
+    return _WORDS.findall(" ".join([*kept, text[at:]]) if kept else text)
+
+
 def swept(owners: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     """One pass over all texts: rows of word counts and rows of candidates.
 
-    ``owners`` lists (owner, table, id column, text column).  Null ids and texts give no row.
+    ``owners`` lists (owner, table, id column, text column).  Null ids and texts give no row.  Each word comes with the
+    least and the greatest context in which it stands: the project, or the text itself in tables without projects.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counts: Counter[str] = Counter()
+            counts: dict[int, Counter[str]] = {}
             rows = []
-            for owner, i, text in zip(pdf["owner"], pdf["owner_id"], pdf["text"]):
-                counts.update(_WORDS.findall(text))
-                rows += [(owner, i, *c) for c in candidates(text)]
-            low: Counter[str] = Counter()
-            for w, n in counts.items():
-                low[w.lower()] += n
+            for owner, i, context, text in zip(pdf["owner"], pdf["owner_id"], pdf["context"], pdf["text"]):
+                found = candidates(text)
+                counts.setdefault(context, Counter()).update(words_outside(text, [c[3] for c in found]))
+                rows += [(owner, i, *c) for c in found]
+            low: dict[str, list[int]] = {}
+            for context, each in sorted(counts.items()):
+                for w, n in each.items():
+                    if (seen := low.get(w := w.lower())) is None:
+                        low[w] = [n, context, context]
+                    else:
+                        seen[0] += n
+                        seen[2] = context
             if low:
-                yield pd.DataFrame({"word": list(low), "n": list(low.values())}).assign(
+                yield pd.DataFrame([(w, *x) for w, x in low.items()], columns=["word", "n", "lo", "hi"]).assign(
                     owner=None, owner_id=None, name=None, line_no=None, value=None, spans=None)
             if rows:
                 yield pd.DataFrame(rows, columns=["owner", "owner_id", "name", "line_no", "value", "spans"]).assign(
-                    word=None, n=None)
+                    word=None, n=None, lo=None, hi=None)
 
     texts = None
     for owner, df, key, text in owners:
-        part = df.select(F.lit(owner).alias("owner"), F.col(key).cast("bigint").alias("owner_id"), F.col(text).alias("text"))
+        context = F.xxhash64(F.coalesce("project", F.lit(""))) if "project" in df.columns else F.xxhash64(text)
+        part = df.select(F.lit(owner).alias("owner"), F.col(key).cast("bigint").alias("owner_id"), context.alias("context"),
+                         F.col(text).alias("text"))
         part = part.where("owner_id is not null and text is not null")
         texts = part if texts is None else texts.unionByName(part)
-    return texts.mapInPandas(run, "word string, n bigint, owner string, owner_id bigint, name string, line_no int,"
+    return texts.mapInPandas(run, "word string, n bigint, lo bigint, hi bigint, owner string, owner_id bigint, name string, line_no int,"
                                   " value string, spans array<int>")
 
 
 def secrets(owners: list[tuple[str, DataFrame, str, str]], dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
     """(owner, owner_id, line_no, value, spans): the credentials of all texts, ``spans`` as flat code point offsets.
 
-    The dictionary has the ``dictionary_words`` most frequent words of all texts, a bounded parameter; words that
-    stand in fewer than :data:`LEAST_COUNT` places explain nothing.  An id that was delivered more than once gives
+    The dictionary has the ``dictionary_words`` most frequent words of all texts, a bounded parameter.  Words are counted
+    outside of the candidates' values and explain only if they stand in two projects, however often one of them or its
+    copies repeat them; a corpus of one project has no other to compare with and counts them all.  An id that was delivered more than once gives
     each place once.
     """
     rows = written(swept(owners), "sweep")
-    counted = rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    counted = rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ends = counted.agg(F.min("lo"), F.max("hi")).first()
+    if ends[0] != ends[1]:
+        counted = counted.where("lo <> hi")
     words = counted.orderBy(F.desc("n"), "word").limit(dictionary_words).collect()
     total = sum(r.n for r in words) or 1
     bits = {r.word: math.log2(total / r.n) + 2 for r in words}

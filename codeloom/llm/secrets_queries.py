@@ -9,8 +9,8 @@ from codeloom.tables import table, written
 
 
 def _owners(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, str, str]]:
-    return [("files", table(spark, d, "files", "file_id", "raw_source"), "file_id", "raw_source"),
-            ("methods", table(spark, d, "methods", "method_id", "source_code"), "method_id", "source_code")]
+    return [("files", table(spark, d, "files", "file_id", "project", "raw_source"), "file_id", "raw_source"),
+            ("methods", table(spark, d, "methods", "method_id", "project", "source_code"), "method_id", "source_code")]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

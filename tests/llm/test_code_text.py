@@ -128,6 +128,14 @@ def test_every_statement_of_a_line_is_read():
         assert values(none) == [], none
 
 
+def test_repeated_secrets_do_not_explain_themselves(spark):
+    prose = "// the password of the ledger account is kept elsewhere; token secret login\n"
+    rows = [(i, f"p{i % 3}", prose + f'String password = "qwzkxbvn{7 if i % 2 else ""}";\nString accountPassword = "ledger account";\n') for i in range(12)]
+    df = spark.createDataFrame(rows, "file_id long, project string, raw_source string")
+    got = secrets.secrets([("files", df, "file_id", "raw_source")]).collect()
+    assert sorted((r.owner_id, r.line_no) for r in got) == [(i, 2) for i in range(12)]
+
+
 GOOD_JAVA = """package a; import b.*; import static c.D.e;
 /** x */ @A(v = {1, 2}, w = "}") public final class B<T extends C & D> extends E<T> implements F, G<H[]> {
   static final int[] T1 = {1, 2,}; private Map<String, List<? super T>> m = new HashMap<>() {{ put("a", null); }};
