@@ -335,10 +335,11 @@ def swept(owners: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
         for pdf in batches:
             counts: dict[int, Counter[str]] = {}
             rows = []
-            for owner, i, context, text in zip(pdf["owner"], pdf["owner_id"], pdf["context"], pdf["text"]):
+            for owner, i, key, context, text in zip(
+                    pdf["owner"], pdf["owner_id"], pdf["text_key"], pdf["context"], pdf["text"]):
                 found = candidates(text)
                 counts.setdefault(context, Counter()).update(words_outside(text, [c[3] for c in found]))
-                rows += [(owner, i, *c) for c in found]
+                rows += [(owner, i, key, *c) for c in found]
             low: dict[str, list[int]] = {}
             for context, each in sorted(counts.items()):
                 for w, n in each.items():
@@ -349,29 +350,29 @@ def swept(owners: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
                         seen[2] = context
             if low:
                 yield pd.DataFrame([(w, *x) for w, x in low.items()], columns=["word", "n", "lo", "hi"]).assign(
-                    owner=None, owner_id=None, name=None, line_no=None, value=None, spans=None)
+                    owner=None, owner_id=None, text_key=None, name=None, line_no=None, value=None, spans=None)
             if rows:
-                yield pd.DataFrame(rows, columns=["owner", "owner_id", "name", "line_no", "value", "spans"]).assign(
+                yield pd.DataFrame(rows, columns=["owner", "owner_id", "text_key", "name", "line_no", "value", "spans"]).assign(
                     word=None, n=None, lo=None, hi=None)
 
     texts = None
     for owner, df, key, text in owners:
         context = F.xxhash64(F.coalesce("project", F.lit(""))) if "project" in df.columns else F.xxhash64(text)
-        part = df.select(F.lit(owner).alias("owner"), F.col(key).cast("bigint").alias("owner_id"), context.alias("context"),
-                         F.col(text).alias("text"))
+        part = df.select(F.lit(owner).alias("owner"), F.col(key).cast("bigint").alias("owner_id"), F.xxhash64(text).alias("text_key"),
+                         context.alias("context"), F.col(text).alias("text"))
         part = part.where("owner_id is not null and text is not null")
         texts = part if texts is None else texts.unionByName(part)
-    return texts.mapInPandas(run, "word string, n bigint, lo bigint, hi bigint, owner string, owner_id bigint, name string, line_no int,"
-                                  " value string, spans array<int>")
+    return texts.mapInPandas(run, "word string, n bigint, lo bigint, hi bigint, owner string, owner_id bigint, text_key bigint, name string,"
+                                  " line_no int, value string, spans array<int>")
 
 
 def secrets(owners: list[tuple[str, DataFrame, str, str]], dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
-    """(owner, owner_id, line_no, value, spans): the credentials of all texts, ``spans`` as flat code point offsets.
+    """(owner, owner_id, text_key, line_no, value, spans): the credentials of all texts, ``spans`` as flat code point offsets.
 
     The dictionary has the ``dictionary_words`` most frequent words of all texts, a bounded parameter.  Words are counted
     outside of the candidates' values and explain only if they stand in two projects, however often one of them or its
     copies repeat them; a corpus of one project has no other to compare with and counts them all.  An id that was delivered more than once gives
-    each place once.
+    each place of each of its texts once, and ``text_key`` is the hash of that text.
     """
     rows = written(swept(owners), "sweep")
     counted = rows.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -389,9 +390,9 @@ def secrets(owners: list[tuple[str, DataFrame, str, str]], dictionary_words: int
         known = shared.value
         return pd.Series([is_secret(n, v, 0 if n == "<key>" else residual(v, known, longest)) for n, v in zip(name, value)])
 
-    places = rows.where("owner is not null").select("owner", "owner_id", "name", "line_no", "value", "spans")
-    places = places.dropDuplicates(["owner", "owner_id", "line_no", "value"])
-    return places.where(judged("name", "value")).select("owner", "owner_id", "line_no", "value", "spans")
+    places = rows.where("owner is not null").select("owner", "owner_id", "text_key", "name", "line_no", "value", "spans")
+    places = places.dropDuplicates(["owner", "owner_id", "text_key", "spans"])
+    return places.where(judged("name", "value")).select("owner", "owner_id", "text_key", "line_no", "value", "spans")
 
 
 _KEY_TEXT = re.compile(r"[A-Za-z0-9+/=]{16,}")
@@ -401,7 +402,8 @@ def blanked(text: str, spans: list[int]) -> str:
     """``text`` with the spans' characters replaced by x; length, line ends and quotes stay, so code still parses."""
     out, at = [], 0
     for a, b in sorted(zip(spans[::2], spans[1::2])):
-        if a < at:
+        a = max(a, at)
+        if a >= b:
             continue
         part = text[a:b]
         keyed = part.startswith("-----BEGIN")
@@ -413,15 +415,23 @@ def blanked(text: str, spans: list[int]) -> str:
 def redacted(owner: str, table: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
     """(owner, owner_id, n_secrets, text): each text that holds credentials, with these blanked.
 
-    Different deliveries of one id are blanked each by its own spans' union; repeated rows come out once.
+    Different deliveries of one id are blanked each by its own spans; repeated rows come out once.  ``n_secrets`` counts
+    places; of places that overlap, the outer one counts.
     """
-    per = found.where(F.col("owner") == owner).groupBy("owner", "owner_id").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"), F.count(F.lit(1)).alias("n_secrets"))
+    per = found.where(F.col("owner") == owner).groupBy("owner", "owner_id", "text_key").agg(F.collect_list("spans").alias("spans"))
     texts = table.select(F.col(key).cast("bigint").alias("owner_id"), F.col(text).alias("text")).where(
-        "text is not null").distinct()
-
-    @F.pandas_udf("string")
-    def blank(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([blanked(t, list(s)) for t, s in zip(text, spans)])
-
-    return texts.join(per, "owner_id").select("owner", "owner_id", "n_secrets", blank("text", "spans").alias("text"))
+        "text is not null").distinct().withColumn("text_key", F.xxhash64("text"))
+
+    @F.pandas_udf("struct<n_secrets: bigint, text: string>")
+    def blank(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, each in zip(text, spans):
+            outer, end = 0, -1
+            for a, b in sorted((s[0], s[-1]) for s in each):
+                outer += a >= end
+                end = max(end, b)
+            out.append((outer, blanked(t, [int(x) for s in each for x in s])))
+        return pd.DataFrame(out, columns=["n_secrets", "text"])
+
+    return texts.join(per, ["owner_id", "text_key"]).select("owner", "owner_id", blank("text", "spans").alias("b")).select(
+        "owner", "owner_id", "b.n_secrets", "b.text")

@@ -136,6 +136,18 @@ def test_repeated_secrets_do_not_explain_themselves(spark):
     assert sorted((r.owner_id, r.line_no) for r in got) == [(i, 2) for i in range(12)]
 
 
+def test_every_place_of_every_delivery_is_blanked(spark):
+    twice = '{"password":"Zk9x!!q7","confirm_password":"Zk9x!!q7"}\n'
+    long = 'String apiToken = "Qw8$z"\n' + "".join(f'    + "b{i}#Xq{i}"\n' for i in range(12)) + "    ;\n"
+    rows = [(1, twice), (1, " " + twice), (1, twice), (2, long), (3, twice), (3, "x = 1\n" * 9)]
+    df = spark.createDataFrame(rows, "file_id long, raw_source string")
+    found = secrets.secrets([("files", df, "file_id", "raw_source")]).cache()
+    got = sorted((r.owner_id, r.n_secrets, r.text) for r in secrets.redacted("files", df, "file_id", "raw_source", found).collect())
+    blank = twice.replace("Zk9x!!q7", "x" * 8)
+    assert [g for g in got if g[0] != 2] == [(1, 2, " " + blank), (1, 2, blank), (3, 2, blank)]
+    assert [g[1] for g in got if g[0] == 2] == [1] and "#" not in got[2][2] and len(got[2][2]) == len(long)
+
+
 GOOD_JAVA = """package a; import b.*; import static c.D.e;
 /** x */ @A(v = {1, 2}, w = "}") public final class B<T extends C & D> extends E<T> implements F, G<H[]> {
   static final int[] T1 = {1, 2,}; private Map<String, List<? super T>> m = new HashMap<>() {{ put("a", null); }};
