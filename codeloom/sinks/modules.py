@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 
 
+#: What stands for a name or a confidence that a conversion lacks.
+NO_NAME, NO_CONFIDENCE = "(unnamed)", "unknown"
+
+
 def module_texts(conversions: DataFrame) -> DataFrame:
     """(project, module, class_name, text): one Python module per class, functions in the order of ``ord``.
 
@@ -23,7 +27,8 @@ def module_texts(conversions: DataFrame) -> DataFrame:
     header = F.concat(F.lit('"""\nConverted from the Java class '), "class_name", F.lit('.\n"""\n\n'))
     notes = F.coalesce("confidence_notes", F.lit(""))
     block = F.concat(
-        F.lit("# --- "), "qualified_name", F.lit(" ---\n# Confidence: "), T.percent(F.col("confidence")), F.lit("\n"),
+        F.lit("# --- "), F.coalesce("qualified_name", F.lit(NO_NAME)), F.lit(" ---\n# Confidence: "),
+        F.when(F.col("confidence").isNull(), NO_CONFIDENCE).otherwise(T.percent(F.col("confidence"))), F.lit("\n"),
         F.when(notes != "", F.concat(F.lit("# Notes: "), F.regexp_replace(notes, r"\s*\n\s*", " "), F.lit("\n"))).otherwise(""),
         F.lit("\n"), F.coalesce("python_code", F.lit("")), F.lit("\n\n"))
     blocks = conversions.where("class_name is not null").select("project", "class_name", "ord", block.alias("block"))
@@ -38,7 +43,8 @@ def report_entries(conversions: DataFrame) -> DataFrame:
     band = T.confidence_band(F.col("confidence"))
     notes = F.coalesce("confidence_notes", F.lit(""))
     entry = F.concat(
-        F.lit("### ["), band, F.lit("] "), "qualified_name", F.lit("\n- **Confidence**: "), T.percent(F.col("confidence")),
+        F.lit("### ["), band, F.lit("] "), F.coalesce("qualified_name", F.lit(NO_NAME)), F.lit("\n- **Confidence**: "),
+        F.when(F.col("confidence").isNull(), NO_CONFIDENCE).otherwise(T.percent(F.col("confidence"))),
         F.lit("\n- **Explanation**: "), F.coalesce("explanation", F.lit("")),
         F.when(notes != "", F.concat(F.lit("\n- **Notes**: "), notes)).otherwise(""), F.lit("\n"))
     return conversions.select("project", "ord", "qualified_name", band.alias("band"), entry.alias("entry"))

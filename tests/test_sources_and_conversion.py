@@ -112,3 +112,13 @@ def test_stream(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert [(r.project, r.files, r.lines) for r in spark.table("daily").collect()] == [("p", 1, 1)]
+
+
+def test_conversions_without_confidence_stay(spark):
+    df = spark.createDataFrame([("p", "A", "A.f", 1, None, None, "x = 1", None), ("p", "A", None, 2, 0.5, None, "y = 2", None)],
+                               "project string, class_name string, qualified_name string, ord long, confidence double,"
+                               " confidence_notes string, python_code string, explanation string")
+    text = modules.module_texts(df).first().text
+    assert "# --- A.f ---\n# Confidence: unknown\n\nx = 1" in text and "# --- (unnamed) ---\n# Confidence: 50%\n\ny = 2" in text
+    entries = {r.ord: r.entry for r in modules.report_entries(df).collect()}
+    assert entries[1].startswith("### [LOW] A.f\n- **Confidence**: unknown") and entries[2].startswith("### [MEDIUM] (unnamed)")
