@@ -25,7 +25,9 @@ _NOTICE = re.compile(
     r"(?i)auto-?\s?generated|generated (?:by|from|with|method|code)|do not (?:edit|modify)|non-javadoc"
     r"|(?:add|insert|missing|write)\b.{0,20}\b(?:description|documentation|comment)\b"
     r"|description (?:goes )?here|to be (?:documented|described|written)|no description|\bsee (?:above|below|super)")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[぀-ヿ一-鿿]")
+#: Scripts that put no blanks between words count by characters.
+_CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿"
+_WORD = re.compile(rf"[{_CJK}]|[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n\s*\n")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_]+")
 # Fixed value: words that tie a name into a sentence without saying anything about it.

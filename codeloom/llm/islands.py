@@ -72,15 +72,42 @@ def _closing(tokens: list[re.Match], at: int) -> int:
     return -1
 
 
+def _argument(head: list[re.Match]) -> list[re.Match]:
+    """The part of ``head`` behind its last open bracket: of ``f(a, function b() {`` only ``function b()``."""
+    opened: list[int] = []
+    for i, m in enumerate(head):
+        if m.group() == "(":
+            opened.append(i)
+        elif m.group() == ")" and opened:
+            opened.pop()
+    if not opened:
+        return head
+    rest = head[opened[-1] + 1:]
+    return next((rest[i:] for i in range(len(rest)) if rest[i].group() == "function"), [])
+
+
+def _declared(head: list[re.Match]) -> int:
+    """Where the declaration begins that ends ``head``: before a named function with its comments and notes, else 0."""
+    at = next((i for i in range(len(head) - 2, -1, -1) if head[i].group() == "function"
+               and next((m.lastgroup for m in head[i + 1:] if m.group() != "*"), "") == "word"), 0)
+    while at and (head[at - 1].lastgroup in ("comment", "note") or head[at - 1].group() in ("async", "export", "default")):
+        at -= 1
+    return at
+
+
 def _name(head: list[re.Match]) -> str | None:
-    """The function that a declaration's head declares: the word before its first parameter list."""
+    """The function that a declaration's head declares: the word before its parameter list."""
+    head = _argument(head)
     words = [m.group() for m in head if m.lastgroup == "word"]
     if not words or words[0] in _BLOCKS and words[0] != "static" or "new" in words:
         return None
-    for a, b in zip(head, head[1:]):
+    for i, (a, b) in enumerate(zip(head, head[1:])):
         if b.group() == "(" and a.lastgroup == "word" and a.group() not in _BLOCKS:
             if a.group() == "function" or a.group() == "async":
                 break
+            after = next((m.group() for m in head[_bracket_end(head, i + 1):] if m.lastgroup == "word"), "throws")
+            if after != "throws":
+                continue  # a call of a statement before
             return a.group()
         if a.group() in ("=", "=>"):
             break
@@ -92,8 +119,17 @@ def _name(head: list[re.Match]) -> str | None:
     return None
 
 
+def _bracket_end(head: list[re.Match], at: int) -> int:
+    depth = 0
+    for i in range(at, len(head)):
+        depth += {"(": 1, ")": -1}.get(head[i].group(), 0)
+        if depth == 0:
+            return i + 1
+    return len(head)
+
+
 def brace_functions(source: str) -> Iterator[Function]:
-    """Functions of a Java or JavaScript source whose body is balanced."""
+    """Functions of a Java or JavaScript source whose body is balanced, those inside of other functions too."""
     tokens, ends = list(_SHORE.finditer(source)), _line_ends(source)
     scopes: list[str | None] = []
     head: list[re.Match] = []
@@ -104,6 +140,9 @@ def brace_functions(source: str) -> Iterator[Function]:
         if t.lastgroup != "mark" or text not in "{};":
             head.append(t)
         elif text == "{":
+            while head and head[0].group() in (",", ")"):
+                head.pop(0)  # of what stands before
+            head = head[_declared(head):]
             core = [m for m in head if m.lastgroup != "comment"]
             words = [m.group() for m in core if m.lastgroup == "word"]
             kind = next((k for k, w in enumerate(words[:-1]) if w in _TYPES), None)
@@ -119,7 +158,7 @@ def brace_functions(source: str) -> Iterator[Function]:
                     owner = [s for s in scopes if s]
                     yield Function(".".join([*owner[-1:], name]), bisect_left(ends, first) + 1,
                                    source[first:tokens[end].end()], comment)
-                    i = end
+                    scopes.append(name)
                 else:
                     scopes.append(None)
             else:

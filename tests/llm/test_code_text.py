@@ -74,6 +74,15 @@ def test_islands():
     assert not list(islands.functions("a.txt", py))
 
 
+def test_nested_functions_and_unspaced_scripts():
+    js = "function f(a) {\n  run(a)\n  /** One. */\n  function g(b) { return b; }\n  go(a, function () { if (a) { b(); } });\n  return { /** Two. */ h() { }, /** Three. */ k(x) { } };\n}\n"
+    assert [(f.qualified_name, f.comment) for f in islands.functions("a.js", js)] == [("f", None), ("f.g", "/** One. */"), ("f.h", "/** Two. */"), ("f.k", "/** Three. */")]
+    java = "class A { void f() { list.forEach(x -> { g(x); }); Runnable r = new Runnable() { /** Runs. */ @Override public void run() { for (;;) { } } }; class L { int m() throws X, Y { return 1; } } } }"
+    assert [(f.qualified_name, f.comment) for f in islands.functions("A.java", java)] == [("A.f", None), ("f.run", "/** Runs. */"), ("L.m", None)]
+    assert docpairs.is_description("/** 古い項目を先頭に移動して読者が最初に見られるようにする。 */", "Box.sortItems") and docpairs.is_description("// 将最旧的条目移到前面，以便读者先看到它们。", "Box.sortItems")
+    assert not docpairs.is_description("/** 並べ替え */", "Box.sortItems")
+
+
 def test_pairs(spark):
     text = "/** Moves the oldest entries to the front so that readers see them first. */\nvoid f() { }"
     m = spark.createDataFrame([(1, "A.f", text, "z"), (1, "A.f", text, "z"), (2, "A.g", "void g() { }", "z"), (3, "A.h", None, "z"), (None, "A.i", text, "z")],
