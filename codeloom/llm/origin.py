@@ -51,6 +51,37 @@ _LIBRARY_PATH = r"(?:^|/)(?:third[_-]?party|vendor(?:ed)?|node_modules|libs?/ext
 _BANNER = (r"(?is)^\s*(?:/\*|//|#)(?=[^\n]*(?:\n[^\n]*){0,5}?\d+\.\d+)"
            r"(?=[^\n]*(?:\n[^\n]*){0,5}?(?:@licen[cs]e|free licen[cs]e|licen[cs]ed under|copyright|\(c\)|redistribution|released under))")
 
+#: What may stand before the first declaration: comments and annotations, which are kept, and imports.
+_HEAD = {
+    "c": re.compile(
+        r"\s+|(//[^\n]*|/\*.*?(?:\*/|\Z)|@(?!interface\b)[\w.]+(?:\([^()]*\))?)|[\"']use strict[\"'];?|(?:package|import)\b[^;\n{]*(?:\{[^}]*\})?[^;\n]*;?"
+        r"|(?:const|let|var)\s+(?:\w+|\{[^}]*\})\s*=\s*require\([^()]*\)[^;\n]*;?|#![^\n]*", re.S),
+    "py": re.compile(r"\s+|(#[^\n]*|[rRuU]?\"\"\".*?(?:\"\"\"|\Z)|[rRuU]?'{3}.*?(?:'{3}|\Z))|(?:from|import)\b[^\n(]*(?:\([^)]*\))?[^\n]*", re.S),
+}
+#: A version or date of the licence itself says nothing about a library.
+_LICENCE_VERSION = re.compile(
+    r"(?i)licen[cs]es?\b[^\n\d]{0,40}(?:\n[^\n\d]{0,12})?(?:version|v)?[ .-]*\d+(?:\.\d+)+|\b(?:[AL]?GPL|MPL|EPL|Apache|BSD|BSL|CC)\b[^\n\d]{0,12}\d+\.\d+")
+_LICENCE = re.compile(r"(?i)@licen[cs]e|free licen[cs]e|licen[cs]ed under|copyright|\(c\)|redistribution|released under")
+
+
+def head_comments(text: str, suffix: str) -> list[str]:
+    """The comments and annotations before the first declaration, however long; successive line comments are one."""
+    part, at, out, line_end = _HEAD["py" if suffix == "py" else "c"], 0, [], -1
+    while (m := part.match(text, at)) and m.end() > at:
+        if m[1]:
+            if line_end >= 0 and m[1].startswith(("//", "#")) and text.count("\n", line_end, at) <= 1 and not text[line_end:at].strip():
+                out[-1] += "\n" + m[1]
+            else:
+                out.append(m[1])
+            line_end = m.end() if m[1].startswith(("//", "#")) else -1
+        at = m.end()
+    return out
+
+
+def is_banner(comment: str) -> bool:
+    """Whether a file's first comment is a library's own: its version and its licence, on whatever lines."""
+    return bool(_LICENCE.search(comment) and re.search(r"\d+\.\d+", _LICENCE_VERSION.sub(" ", comment)))
+
 
 def _mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -161,7 +192,7 @@ def described(files: DataFrame) -> DataFrame:
             who, rule, size = phrases(symbols, owner)
             cuts = np.searchsorted(who, np.arange(len(rows) + 1))
             out = pd.DataFrame(rows, columns=["file_id", "project", "suffix", "tokens", "blanks", "literal_chars", "token_chars", "literals",
-                                              "new_literals", "told", "markup"])
+                                              "new_literals", "told", "markup", "banner"])
             out["reuse"] = reuse
             out["phrases"] = [[{"rule": r, "size": z} for r, z in zip(rule[a:b].astype(np.int64).tolist(), size[a:b].tolist())]
                               for a, b in zip(cuts, cuts[1:])]
@@ -178,9 +209,11 @@ def described(files: DataFrame) -> DataFrame:
                 total += len(found)
                 each = [known[t] for t in found]
                 literals = [t for t, e in zip(found, each) if e[2]]
+                head = head_comments(text, suffix)
                 rows.append((i, project, suffix, len(found), sum(map(text.count, " \n\t\r")) / max(1, len(text)),
                              sum(e[2] for e in each), sum(map(len, found)), len(literals), len(set(literals)),
-                             bool(_TOLD.search(text[:600])), text.lstrip()[:1] in ("<", "{")))
+                             bool(_TOLD.search(text[:600]) or any(map(_TOLD.search, head))), text.lstrip()[:1] in ("<", "{"),
+                             bool(head) and text.lstrip().startswith(head[0][:2]) and is_banner(head[0])))
                 hashes.append([e[0] for e in each])
                 kinds.append([e[1] for e in each])
             if rows:
@@ -191,7 +224,7 @@ def described(files: DataFrame) -> DataFrame:
         F.col("file_id").isNotNull() & F.col("raw_source").isNotNull() & F.col("suffix").isin("java", "js", "py"))
     return code.mapInPandas(
         run, "file_id bigint, project string, suffix string, tokens bigint, blanks double, literal_chars bigint, token_chars bigint,"
-             " literals bigint, new_literals bigint, told boolean, markup boolean, reuse double, phrases array<struct<rule:bigint,size:bigint>>")
+             " literals bigint, new_literals bigint, told boolean, markup boolean, banner boolean, reuse double, phrases array<struct<rule:bigint,size:bigint>>")
 
 
 def kind(shared: Column, library: Column) -> Column:
@@ -234,7 +267,7 @@ def judged(files: DataFrame) -> DataFrame:
         F.max("library").alias("library"))
     joined = table.drop("phrases").join(own, "file_id", "left").join(hints, "file_id", "left")
     shared = F.coalesce("shared", F.lit(0.0))
-    return joined.select("file_id", "project", "reuse", shared.alias("shared"), kind(shared, F.col("library")).alias("kind")).groupBy(
+    return joined.select("file_id", "project", "reuse", shared.alias("shared"), kind(shared, F.col("library") | F.col("banner")).alias("kind")).groupBy(
         "file_id").agg(F.min("project").alias("project"), F.min("reuse").alias("reuse"), F.max("shared").alias("shared"),
                        F.min("kind").alias("kind"))
 

@@ -245,5 +245,16 @@ def test_origin(spark):
     assert sum(r.by_hand for r in origin.report(origin.judged(df)).collect()) >= 30
 
 
+def test_notices_behind_long_heads():
+    licence = "/*\n" + " * Licensed to the authors under one or more agreements, see the notice file.\n" * 20 + " * http://www.apache.org/licenses/LICENSE-2.0\n */\n"
+    java = licence + "package a;\n" + "".join(f"import a.b.C{i};\n" for i in range(60)) + "/** Generated by a tool, do not edit. */\npublic class A { /* inner */ }"
+    head = origin.head_comments(java, "java")
+    assert len(head) == 2 and origin._TOLD.search(head[1]) and not origin._TOLD.search(head[0]) and not origin._TOLD.search(java[:600])
+    assert origin.head_comments("# a\n# b\nimport x\n\"\"\"Built by make.\"\"\"\nx = 1\n# c", "py") == ["# a\n# b", '"""Built by make."""']
+    long = "/*!\n * The grid.\n" + " * It draws rows and columns.\n" * 40 + " * v3.1.4\n * Released under a free licence.\n */\nvar a;"
+    assert origin.is_banner(origin.head_comments(long, "js")[0])
+    assert not origin.is_banner(head[0]) and not origin.is_banner("/* Licensed under the Apache License,\n * Version 2.0 */")
+
+
 def test_python_grammar_is_the_running_one():
     assert isinstance(ast.parse("x = 1"), ast.Module)
