@@ -21,15 +21,17 @@ from codeloom.tables import written
 
 #: Words the dictionary keeps (the most frequent ones).
 DICTIONARY_WORDS = 50_000
-#: Unexplained characters that make a literal a credential: beside a telling name, and anywhere else.
-RESIDUAL_NAMED = 3
-RESIDUAL_BARE = 20
+#: Least unexplained characters, and their least share of a literal's length, that make it a credential in each place:
+#: what a telling name is given, the second half of a pair in a comment, and anything else that is given or passed on.
+RESIDUAL = {"named": (3, 0.15), "pair": (4, 0.2), "bare": (10, 0.6)}
+#: Shorter literals can't be credentials where nothing tells.
+BARE_LEAST = 10
 #: What a character costs that no word explains, in bits.
 UNKNOWN_BITS = 7.0
 
 # Words that tell of a credential, alone or before "key", and words that turn such a name into another thing.
 _TELLING = frozenset(
-    "auth authorization credential credentials dsn login pass passcode passphrase passwd password pin pwd secret token".split())
+    "auth authorization credential credentials dsn login pass passcode passphrase passwd password pin pw pwd secret token".split())
 _KEY_KINDS = frozenset("access api auth client encryption master private secret service signing".split())
 _JOINED = frozenset("accesskey accesstoken apikey apitoken clientsecret privatekey secretkey signingkey dbpass dbpassword".split())
 _OTHER_THING = frozenset(
@@ -45,9 +47,10 @@ _FIXED = re.compile(r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-
                     r"|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})$")
 _HINT = re.compile(
     r"(?i)pass|pwd|secret|token|key|auth|credential|login|dsn|bearer|basic\s|sig=|://[^\s/@'\"]+@|eyJ"
-    r"|(?-i:(?<![a-z])pin(?![a-z])|Pin(?![a-z])|PIN(?![A-Za-z]))")
+    r"|(?-i:(?<![a-z])(?:pin|pw)(?![a-z])|P(?:in|w)(?![a-z])|P(?:IN|W)(?![A-Za-z]))|(?<!\S)-(?:u|-user)[ =]")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:.*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)?", re.S)
-_URL = re.compile(r"(?<![\w+.-])[A-Za-z][\w+.:-]{0,40}://[^\s/:@\"']*:([^\s/@\"']+)@|[?&](?:api_?key|token|access_token|secret|password|sig)=([^&\s\"'#]+)")
+_URL = re.compile(r"(?<![\w+.-])[A-Za-z][\w+.:-]{0,40}://[^\s/:@\"']*:([^\s/@\"']+)@|[?&](?:api_?key|token|access_token|secret|password|sig)=([^&\s\"'#]+)"
+                  r"|(?<!\S)-(?:u|-user)[ =][\"']?[\w.@\\-]+:([^\s\"']{6,})")
 _SIGNED = re.compile(r"[\"'`](eyJ[A-Za-z0-9+/=_-]*\.[A-Za-z0-9+/=._-]{20,})[\"'`]")
 _SCHEME = re.compile(r"\b(?:Bearer|Basic|Token)\s+([A-Za-z0-9+/=._~-]{8,})")
 #: Literals, which hold no comment, and comments.
@@ -55,12 +58,19 @@ _COMMENT = re.compile(
     r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`|((?<!:)//[^\n]*|/\*.*?(?:\*/|$)|<!--.*?(?:-->|$)|#[^\n]*|--[^\n]*|^\s*\*.*?(?:\*/|$))")
 _REMARK = re.compile(
     r"(?i)\b(?:login|password|passwd|pwd|credentials?|secret|token|api key)\b[^:=\n/\"']{0,15}[:=]\s*([^\s/\"']+)(?:[ \t]*/[ \t]*(\S+))?")
+_LOGIN = re.compile(r"(?i)login|credential")
 _SETTING = re.compile(r"^\s*([\w.\-]+)\s*[:=]\s*([^\s\"'|>{\[][^\n]*?)\s*$")
 _PIECE = re.compile(r"\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`|([A-Za-z_$][\w$]*)|(;)|([(\[{])|([)\]}])|(,)")
 _BLOCK = re.compile(r"\s*(?:->[^:\n]*)?(?:\{|:[ \t\r]*\n|=>|throws\b)")
 _ASSIGNED = re.compile(r"\s*(?:=(?![=>])|:(?!:))")
 #: A literal of one long run, and a setting without quotes.
-_LONG = re.compile(r"[\"'`][^\s\"'`]{%d,}[\"'`]|^[ \t]*[\w.\-]+[ \t]*[:=][ \t]*[^\s\"'|>{\[(]\S{%d,}[ \t\r]*$" % (RESIDUAL_BARE, RESIDUAL_BARE - 1), re.M)
+_LONG = re.compile(r"[\"'`][^\s\"'`]{%d,}[\"'`]|^[ \t]*[\w.\-]+[ \t]*[:=][ \t]*[^\s\"'|>{\[(]\S{%d,}[ \t\r]*$" % (BARE_LEAST, BARE_LEAST - 1), re.M)
+#: A pair in a comment: a label, an account, and what may be its password.
+_PAIR = re.compile(r"([^\W\d][\w \t-]*?)[ \t]*[:=][ \t]*[\w.@\\-]{2,}[ \t]*/[ \t]+([^\s/]{6,})")
+#: A long run with a digit by itself, and what such a run is called in a comment.
+_RUN = re.compile(r"(?:([\w-]+)[ \t]*[:=]?[ \t]+|(?<=[:=]))(?=\S*\d)([A-Za-z0-9+/=_\-]{16,})(?=[\s,.;)]|$)")
+_RUNS = re.compile(r"(?<=[ \t:=])[A-Za-z+/=_\-]*\d[A-Za-z0-9+/=_\-]{14,}(?=[\s,.;)]|$)")
+_PAIRED = re.compile(r"[:=][ \t]*[\w.@\\-]{2,}[ \t]*/[ \t]+[^\s/]{6,}")
 _LITERAL = re.compile(r"\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`")
 _GIVEN = re.compile(r"(?:([\w.\-$]+)(?:\([^()]*\))?[\"'`]?\]?\s*)?(?:=>|[=:(,?]|\breturn)\s*$")
 _JOINED_ON = re.compile(r"[\"'`]\s*\+\s*(?:\"((?:\\.|[^\"\\\n])*)\"|'((?:\\.|[^'\\\n])*)'|`([^`\n]*)`)")
@@ -69,6 +79,8 @@ _BESIDE = re.compile(r"\s*(?:,|[=!]=+)\s*([\w.$]+)\s*\(")
 _NO_KEY = _OTHER_THING | frozenset(
     "alphabet certificate cert charset chars checksum commit crc etag fingerprint guid image integrity md5 revision sha sha1 sha256"
     " sha512 sum uuid version".split())
+# Fixed value: what an account is called.
+_ACCOUNTS = frozenset("account login user username".split())
 _NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _WORDS = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
 _GOES_ON = ("=", "(", ",", "+", ":", "\\")
@@ -190,7 +202,7 @@ def _long_literals(text: str) -> Iterator[list[tuple[int, int]]]:
             continue
         for m in _LITERAL.finditer(line):
             g = 1 if m[1] is not None else 2 if m[2] is not None else 3
-            if len(m[g]) >= RESIDUAL_BARE and not re.search(r"\s", m[g]):
+            if len(m[g]) >= BARE_LEAST and not re.search(r"\s", m[g]):
                 given = _GIVEN.search(line[max(0, m.start() - 80):m.start()])
                 beside = _BESIDE.match(line, m.end())  # compared with a digest
                 if given and not (given[1] and _other(given[1]) or beside and _other(beside[1])):
@@ -209,7 +221,8 @@ def _other(name: str) -> bool:
 def candidates(text: str) -> list[tuple[str, int, str, list[int]]]:
     """(name, line, value, flat spans) of literals in ``text`` that may be credentials; name is blank where none tells.
 
-    A name in angle brackets stands for a place that by itself holds credentials: <key>, <url>, <scheme>, <remark>.
+    A name in angle brackets stands for a place that by itself holds credentials: <key>, <url>, <scheme>, <remark>, and
+    <pair> for an account in a comment.  Literals that are given or passed on without a telling name are candidates too.
     """
     out: dict[int, tuple[str, str, list[tuple[int, int]]]] = {}
     starts: list[int] = []
@@ -243,7 +256,7 @@ def candidates(text: str) -> list[tuple[str, int, str, list[int]]]:
         done = end
         line = text[start:end]
         for m in _URL.finditer(line):
-            g = 1 if m[1] else 2
+            g = m.lastindex
             add("<url>", [(start + m.start(g), start + m.end(g))])
             take(start + m.start(), start + m.end())
         for m in _SCHEME.finditer(line):
@@ -253,9 +266,10 @@ def candidates(text: str) -> list[tuple[str, int, str, list[int]]]:
             continue
         for note in _COMMENT.finditer(line):
             for m in _REMARK.finditer(note[1] or ""):
-                g = 2 if m[2] else 1
                 at = start + note.start(1)
-                add("<remark>", [(at + m.start(g), at + m.end(g))])
+                # A login names its account first; of what else stands beside one another, any may be the value.
+                for g in (2,) if m[2] and _LOGIN.match(m[0]) else (1, 2) if m[2] else (1,):
+                    add("<remark>", [(at + m.start(g), at + m.end(g))])
         m = _SETTING.match(line)
         if m and tells(m[1]) and not line.rstrip().endswith((";", "(", "{", ",")):
             add(m[1], [(start + m.start(2), start + m.end(2))])
@@ -265,6 +279,19 @@ def candidates(text: str) -> list[tuple[str, int, str, list[int]]]:
                 add(name, spans)
         for m in _SIGNED.finditer(line):
             add("", [(start + m.start(1), start + m.end(1))])
+    for name, telling, within in (("<pair>", _PAIRED, _PAIR), ("", _RUNS, _RUN)):
+        done = -1
+        for hit in telling.finditer(text):
+            if hit.start() < done:
+                continue
+            start = text.rfind("\n", 0, hit.start()) + 1
+            done = text.find("\n", hit.start())
+            done = len(text) if done < 0 else done
+            for note in _COMMENT.finditer(text[start:done]):
+                for m in within.finditer(note[1] or ""):
+                    at = start + note.start(1)
+                    if name and m[1].lower().split()[-1] in _ACCOUNTS or not (m[1] and _other(m[1])):
+                        add(name, [(at + m.start(2), at + m.end(2))])
     inside = sorted(s for _, _, spans in out.values() for s in spans)
     for spans in _long_literals(text):
         a, b = spans[0]
@@ -301,17 +328,24 @@ def residual(value: str, bits: dict[str, float], longest: int) -> int:
     return best[-1][1]
 
 
+def place_of(name: str) -> str:
+    """The kind of place a candidate of this name stands in; names only choose the threshold."""
+    return "key" if name == "<key>" else "pair" if name == "<pair>" else "named" if name else "bare"
+
+
 def is_secret(name: str, value: str, left: int) -> bool:
     """Whether a literal with ``left`` unexplained characters is a live-looking credential in its place."""
     if name == "<key>":
         return True
     if _PLACEHOLDER.search(value.strip()) or _DIGEST.match(value) or not value.strip():
         return False
-    if name == "":
-        return left >= RESIDUAL_BARE and not _FIXED.match(value)
     if re.search(r"\s\S+\s", value.strip()):  # running text
         return False
-    return left >= RESIDUAL_NAMED
+    place = place_of(name)
+    if place != "named" and (_FIXED.match(value) or not re.search(r"[^\W\d_]", value)):
+        return False
+    least, share = RESIDUAL[place]
+    return left >= least and left >= share * len(value)
 
 
 def words_outside(text: str, spans: list[list[int]]) -> list[str]:
@@ -366,8 +400,10 @@ def swept(owners: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
                                   " line_no int, value string, spans array<int>")
 
 
-def secrets(owners: list[tuple[str, DataFrame, str, str]], dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
-    """(owner, owner_id, text_key, line_no, value, spans): the credentials of all texts, ``spans`` as flat code point offsets.
+def judged_candidates(owners: list[tuple[str, DataFrame, str, str]], dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
+    """(owner, owner_id, text_key, line_no, value, spans, place, left, accepted): every candidate and what the dictionary leaves of it.
+
+    ``spans`` are flat code point offsets, ``left`` is the residual.
 
     The dictionary has the ``dictionary_words`` most frequent words of all texts, a bounded parameter.  Words are counted
     outside of the candidates' values and explain only if they stand in two projects, however often one of them or its
@@ -385,14 +421,37 @@ def secrets(owners: list[tuple[str, DataFrame, str, str]], dictionary_words: int
     longest = max(map(len, bits), default=1)
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 
-    @F.pandas_udf("boolean")
-    def judged(name: pd.Series, value: pd.Series) -> pd.Series:
-        known = shared.value
-        return pd.Series([is_secret(n, v, 0 if n == "<key>" else residual(v, known, longest)) for n, v in zip(name, value)])
+    @F.pandas_udf("struct<place: string, left: int, accepted: boolean>")
+    def judged(name: pd.Series, value: pd.Series) -> pd.DataFrame:
+        known, out = shared.value, []
+        for n, v in zip(name, value):
+            left = 0 if n == "<key>" else residual(v, known, longest)
+            out.append((place_of(n), left, is_secret(n, v, left)))
+        return pd.DataFrame(out, columns=["place", "left", "accepted"])
 
     places = rows.where("owner is not null").select("owner", "owner_id", "text_key", "name", "line_no", "value", "spans")
     places = places.dropDuplicates(["owner", "owner_id", "text_key", "spans"])
-    return places.where(judged("name", "value")).select("owner", "owner_id", "text_key", "line_no", "value", "spans")
+    return places.withColumn("j", judged("name", "value")).select(
+        "owner", "owner_id", "text_key", "line_no", "value", "spans", "j.place", "j.left", "j.accepted")
+
+
+def secrets(owners: list[tuple[str, DataFrame, str, str]], dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
+    """(owner, owner_id, text_key, line_no, value, spans): the credentials of all texts; see :func:`judged_candidates`."""
+    return judged_candidates(owners, dictionary_words).where("accepted").drop("place", "left", "accepted")
+
+
+def decisions(candidates: DataFrame) -> DataFrame:
+    """(owner, place, candidates, explained, excluded, secrets) of judged candidates.
+
+    ``explained`` are those the dictionary leaves too little of, ``excluded`` are placeholders, digests and running text
+    that would have had enough left.
+    """
+    least = F.create_map(*[F.lit(x) for k, v in RESIDUAL.items() for x in (k, v[0])])
+    share = F.create_map(*[F.lit(x) for k, v in RESIDUAL.items() for x in (k, v[1])])
+    enough = F.coalesce((F.col("left") >= least[F.col("place")]) & (F.col("left") >= share[F.col("place")] * F.char_length("value")), F.lit(True))
+    return candidates.groupBy("owner", "place").agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if(~enough).alias("explained"),
+        F.count_if(enough & ~F.col("accepted")).alias("excluded"), F.count_if("accepted").alias("secrets"))
 
 
 _KEY_TEXT = re.compile(r"[A-Za-z0-9+/=]{16,}")

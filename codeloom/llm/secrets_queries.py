@@ -24,8 +24,13 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p5_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """How many candidates of each kind of place the segmentation explains, and how many remain."""
+    return S.decisions(S.judged_candidates(_owners(spark, d)))
+
+
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_redacted": p5_redacted}
+    return {"p5_found": p5_found, "p5_redacted": p5_redacted, "p5_decisions": p5_decisions}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -145,6 +145,22 @@ def test_repeated_secrets_do_not_explain_themselves(spark):
     assert sorted((r.owner_id, r.line_no) for r in got) == [(i, 2) for i in range(12)]
 
 
+def test_the_residual_alone_separates_words_from_keys(spark):
+    prose = "// the ledger account keeps a frozen balance; fallback user, field required, revision token\n" * 3
+    texts = {  # one name each, only the residual differs
+        1: 'setPassword("field-required");', 2: 'setPassword("Zk9xw!q7");', 3: 'open("ledger-account-balance");', 4: 'open("gT5#nB8&qL2!zR4x");',
+        5: "// fallback user: ledger / balance-frozen", 6: "// fallback user: ledger / Zk9xw!q7", 7: "// see: 2024 / 20240301",
+        8: "// left over from tests: Qz81kdPw0LmXz81kdPw0", 9: "// revision: Qz81kdPw0LmXz81kdPw0", 10: "# curl -u ledger:Zk9xw!q7 https://h"}
+    df = spark.createDataFrame([(i, f"p{i % 3}", prose + t + "\n") for i, t in texts.items()], "file_id long, project string, raw_source string")
+    owners = [("files", df, "file_id", "raw_source")]
+    assert sorted(r.owner_id for r in secrets.secrets(owners).collect()) == [2, 4, 6, 8, 10]
+    # Deliveries in any number do not change that.
+    assert sorted({r.owner_id for r in secrets.secrets([("files", df.union(df).union(df), "file_id", "raw_source")]).collect()}) == [2, 4, 6, 8, 10]
+    told = {r.place: (r.candidates, r.explained, r.excluded, r.secrets) for r in secrets.decisions(secrets.judged_candidates(owners)).collect()}
+    assert told["named"] == (3, 1, 0, 2) and told["pair"][3] == 1 and told["bare"][1] >= 1 and told["bare"][3] == 2
+    assert [c[2] for c in secrets.candidates("// password: hunter2xQ9 / old")] == ["hunter2xQ9", "old"]
+
+
 def test_every_place_of_every_delivery_is_blanked(spark):
     twice = '{"password":"Zk9x!!q7","confirm_password":"Zk9x!!q7"}\n'
     long = 'String apiToken = "Qw8$z"\n' + "".join(f'    + "b{i}#Xq{i}"\n' for i in range(12)) + "    ;\n"
