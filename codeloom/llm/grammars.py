@@ -1,70 +1,137 @@
-"""Local grammars: each balanced bracket group of a source is checked by itself and then stands for one symbol.
+"""Local grammars: each balanced bracket group of a class stream is checked by itself and then stands for one symbol.
 
-A group's tokens are a string of one-letter classes, nested groups included, and its statements have to match the
-regular expressions of its language.  Innermost groups are closed first, so a pattern never has to count brackets.
+A group's classes, nested groups reduced, have to match the regular expressions of its language.  Groups are closed from
+the inside out, so a pattern never has to count brackets; what belongs together across the statements of a block (an
+else and its if, a catch and its try, the while of a do, Python's indentation) is bound by a small stack.
 
-Classes: i name, n literal, t primitive type, m modifier, p/P empty/filled parentheses, B brackets, C braces that form a
-block, o operand in braces, = assignment, b binary operator, + plus or minus, u ++ or --, ! prefix operator, and one
-letter for each keyword.
+Symbols of reduced groups: p/P empty/filled parentheses, B brackets, C braces that form a block, o operand in braces,
+A an arrow function's body; in Python p/P, E/B empty/filled brackets and O braces.  The classes of tokens are listed in
+:mod:`codeloom.llm.lexing`.
 """
 
 from __future__ import annotations
 
-import ast
-import json
+import functools
 import re
+from collections.abc import Callable
 
 from codeloom.llm import lexing
 
-# Keywords by class.
-_JAVA_WORDS = {
-    **dict.fromkeys("public private protected static final abstract native transient volatile strictfp".split(), "m"),
-    **dict.fromkeys("int long double float boolean char byte short void".split(), "t"),
-    **dict.fromkeys("true false null".split(), "n"), **dict.fromkeys("this super".split(), "i"),
-    **dict.fromkeys("class interface enum".split(), "c"), **dict.fromkeys("extends implements".split(), "x"),
-    "if": "I", "while": "W", "for": "F", "do": "D", "else": "E", "switch": "S", "case": "K", "default": "d", "return": "R",
-    "throw": "T", "break": "J", "continue": "J", "try": "Y", "catch": "H", "finally": "Z", "new": "N", "instanceof": "O",
-    "throws": "w", "package": "a", "import": "q", "assert": "A", "synchronized": "s", "goto": "#", "const": "#",
-}
-_JS_WORDS = {
-    **dict.fromkeys("true false null this super".split(), "n"), **dict.fromkeys("var let const".split(), "v"),
-    **dict.fromkeys("typeof void delete await new yield".split(), "!"), **dict.fromkeys("in instanceof".split(), "b"),
-    "function": "f", "class": "c", "extends": "x", "if": "I", "while": "W", "with": "W", "for": "F", "do": "D", "else": "E",
-    "switch": "S", "case": "K", "default": "d", "return": "R", "throw": "T", "break": "J", "continue": "J", "try": "Y",
-    "catch": "H", "finally": "Z", "import": "q", "export": "e", "debugger": "n", "enum": "#",
-}
-_OPS = {"++": "u", "--": "u", "!": "!", "~": "!", "+": "+", "-": "+", "?": "?", ":": ":", ";": ";", ",": ",", ".": ".", "?.": ".",
-        "...": "~", "->": "L", "=>": "L", "::": "M", "@": "@", "<": "<", ">": ">", "=": "="}
+_SPLIT = re.compile(r"([()\[\]{}])")
+#: Groups up to this length are remembered with their verdict.
+_SHORT = 400
+
+
+class _Frame:
+    __slots__ = ("bracket", "role", "parts", "inside", "ended")
+
+    def __init__(self, bracket: str, role: str, inside: bool = False) -> None:
+        self.bracket, self.role, self.parts = bracket, role, []
+        self.inside = inside  # within a function
+        self.ended = False  # a semicolon was seen
 
 
-def _op(text: str) -> str:
-    return _OPS.get(text) or ("=" if text[-1] == "=" and text not in ("==", "!=", "<=", ">=", "===", "!==") else "b")
+def _tail(parts: list[str], reach: int = 400) -> str:
+    """The classes since the last semicolon or block."""
+    out = ""
+    for p in reversed(parts):
+        k = max(p.rfind(";"), p.rfind("C"))
+        if k >= 0:
+            return p[k + 1:] + out
+        out = p + out
+        if len(out) > reach:
+            break
+    return out
+
+
+def _remembered(check: Callable) -> Callable:
+    """``check`` with its verdicts on short strings remembered."""
+    short = functools.lru_cache(1 << 16)(check)
+    return lambda *a: short(*a) if len(a[-1]) <= _SHORT else check(*a)
+
+
+def _pieces(s: str) -> list[str]:
+    """Statements of a block: each ends with a semicolon or a block that no operand continues."""
+    return re.findall(r"[^;C]*[;C]|[^;C]+$", s)
+
+
+def _bound(pieces: list[str], read: Callable) -> bool:
+    """Whether all pieces are statements and every else, catch, finally and while finds what it belongs to.
+
+    ``read`` gives (fresh, lead, core) of a piece or None: ``fresh`` tells of labels before it, ``lead`` lists I, E, W, F, D
+    and L for what a statement is the body of, ``core`` is try, resources, catch, finally, while or other.
+    """
+    chain: list[str] = []
+    for p in pieces:
+        parsed = read(p)
+        if parsed is None:
+            return False
+        fresh, lead, core = parsed
+        if lead and lead[0] == "W" and "D" in chain and not fresh:  # the line end after a do's while ends its statement
+            while chain[-1] in "IEWFLy":
+                chain.pop()
+            if chain.pop() != "D":
+                return False
+            lead, chain = lead[1:], []
+        if lead and lead[0] == "E" and not fresh:
+            while chain and chain[-1] in "EWFLy":
+                chain.pop()
+            if not chain or chain.pop() != "I":
+                return False
+            chain = chain + list(lead)
+        elif core in ("catch", "finally") and not lead and not fresh:
+            if not chain or chain.pop() not in "Yy":
+                return False
+            if core == "catch":
+                chain.append("y")
+            continue
+        elif core == "while" and not fresh and "D" in chain:
+            while chain[-1] in "IEWFLy":
+                chain.pop()
+            if chain.pop() != "D":
+                return False
+            continue
+        else:
+            if "D" in chain or "Y" in chain or core in ("catch", "finally") or "E" in lead:
+                return False
+            chain = list(lead)
+        if "E" in lead[1:]:
+            return False
+        if core == "while":
+            chain.append("W")
+        elif core == "try":
+            chain.append("Y")
+        elif core == "resources":
+            chain.append("y")
+    return "D" not in chain and "Y" not in chain
 
 
 # --- Java -----------------------------------------------------------------------------------------------------------
 _T = r"[it](?:\.i)*B*"
-_TS = rf"{_T}(?:[,&]{_T})*"
+_TS = rf"{_T}(?:,{_T})*"
 _POST = r"(?:\.N?i|[pP]|B|u|Mi|MN|\.n)"
 _OPD = rf"(?:N{_T}(?:[pP]o?|o)?|(?:i|n|P|o|t(?=[.BM]))|pL[io n])"
 _UNARY = r"(?:[!+u]|P(?=[iNnPpo!]))*"
 _UNIT = rf"{_UNARY}{_OPD}{_POST}*"
-_X = rf"(?:{_UNIT}(?:(?:(?:>{{1,3}}|[b+<=?:L]){_UNARY}{_OPD}{_POST}*)|Om*{_T}(?:i|P)?)*)"
+# What is assigned to is a name, a field or an element.
+_X = rf"(?:{_UNIT}(?:(?:(?:>{{1,3}}|[b+<?:L]|(?<=[iB])=){_UNARY}{_OPD}{_POST}*)|Om*{_T}(?:i|P)?)*)"
 # An expression is a statement only if it assigns, counts, calls or makes something.
 _XS = rf"(?=[^;]*[=u][^;]*;|[^;]*i[pP];|N[^;]*[pPo];){_X}"
 _VAR = rf"iB*(?:={_X})?(?:,iB*(?:={_X})?)*"
 _DECL = rf"m*{_T}{_VAR}"
 _PARAM = rf"m*{_T}~?iB*"
-_LEAD = r"(?:IP|WP|FP|EIP|E|D|i:)*"
 _LABEL = rf"(?:(?:K(?:{_X}|m*{_T}i)(?:,{_X})*|d):)*"
-_ARROW = rf"(?:K(?:{_X}|m*{_T}i)(?:,{_X})*|d|K?n,d)L"
-_JAVA_STATEMENT = re.compile(
-    rf"{_LABEL}{_LEAD}(?:;|R(?:{_X})?;|T{_X};|Ji?;|A{_X}(?::{_X})?;|{_DECL};|{_XS};|C|SPC|YP?C|HPC|ZC|sPC|m*ci(?:x{_TS})*C|m*ri[pP](?:x{_TS})*C)"
-    rf"|{_ARROW}(?:T?{_X};|C)|WP;|{_LABEL}")
+_TYPE = rf"m*(?:ci(?:x{_T})?(?:G{_TS})?(?:V{_TS})?C|fi(?:x{_TS})?(?:V{_TS})?C|ei(?:G{_TS})?C|ri[pP](?:G{_TS})?C)"
+_JAVA_LABELS = re.compile(_LABEL)
+_JAVA_ARROW = re.compile(rf"(?:K(?:{_X}|m*{_T}i)(?:,{_X})*|d|K?n,d)L")
+_JAVA_ARROWED = re.compile(rf"T?{_X};|T{_X};|C")
+_LEADS = re.compile(r"IP|WP|FP|E|D|i:")
+_JAVA_CORE = re.compile(
+    rf";|R(?:{_X})?;|T{_X};|Ji?;|A{_X}(?::{_X})?;|{_DECL};|{_XS};|C|SPC|YP?C|HPC|ZC|sPC|{_TYPE}")
 _JAVA_MEMBER = re.compile(
-    rf"m*(?:;|C|{_T}{_VAR};|(?:d?){_T}i[pP]B*(?:w{_TS})?(?:C|;|d(?:{_X}|n);)|i[pP](?:w{_TS})?C|iC|ci(?:x{_TS})*C|ri[pP](?:x{_TS})*C)"
-    rf"|[dm]*{_T}i[pP](?:w{_TS})?(?:C|;)")
-_JAVA_ENUM = re.compile(r"(?:i[pP]?o?(?:,i[pP]?o?)*,?)?;?")
-_JAVA_UNIT = re.compile(rf"(?:ai(?:\.i)*;)?(?:qm?i(?:\.i)*(?:\.b)?;|;)*(?:m*ci(?:x{_TS})*C|m*ri[pP](?:x{_TS})*C|;)*")
+    rf"m*(?:;|C|{_T}{_VAR};|d?{_T}i[pP]B*(?:w{_TS})?(?:C|;|d(?:{_X}|n);)|i[pP](?:w{_TS})?C|iC)|{_TYPE}|[dm]*{_T}i[pP](?:w{_TS})?(?:C|;)")
+_JAVA_ENUM = re.compile(r"(?:i[pP]?o?(?:,i[pP]?o?)*,?)?")
+_JAVA_UNIT = re.compile(rf"(?:ai(?:\.i)*;)?(?:qm?i(?:\.i)*(?:\.b)?;|;)*(?:{_TYPE}|;)*")
 _JAVA_PARENS = {
     "F": re.compile(rf"(?:{_DECL}|{_X}(?:,{_X})*)?;(?:{_X})?;(?:{_X}(?:,{_X})*)?|{_PARAM}:{_X}"),
     "Y": re.compile(rf"(?:{_DECL}|{_X})(?:;(?:{_DECL}|{_X}))*;?"),
@@ -73,166 +140,210 @@ _JAVA_PARENS = {
 }
 _JAVA_LIST = re.compile(rf"{_X}(?:,{_X})*|{_PARAM}(?:,{_PARAM})*|{_TS}")
 _JAVA_INDEX = re.compile(rf"(?:{_X})?")
-_JAVA_ARRAY = re.compile(rf"(?:{_X}(?:,{_X})*,?)?")
+_JAVA_ARRAY = re.compile(rf"(?:{_X}(?:,{_X})*,?|,)?")
 _ANNOTATION = re.compile(r"@i(?:\.i)*[pP]?")
-_GENERIC = re.compile(r"(?<=[im;{}(,=.NM@R<?CL])<(?:(?:m*[it](?:\.i)*B*|\?)(?:[xi][it](?:\.i)*B*(?:b[it])*)?(?:,(?:m*[it](?:\.i)*B*|\?)(?:[xi][it](?:\.i)*B*)?)*)?>|^<(?:i(?:x[it](?:\.i)*)?,?)+>")
-
-
-class _Frame:
-    __slots__ = ("bracket", "role", "classes")
-
-    def __init__(self, bracket: str, role: str) -> None:
-        self.bracket, self.role, self.classes = bracket, role, []
-
-
-def _without_generics(s: str) -> str:
-    while True:
+_GENERIC = re.compile(r"(?<=[im;{}(,=.NM@R<?CL])<(?:(?:m*[it](?:\.i)*B*|\?)(?:[xi][it](?:\.i)*B*(?:b[it](?:\.i)*)*)?(?:,(?:m*[it](?:\.i)*B*|\?)(?:[xi][it](?:\.i)*B*(?:b[it](?:\.i)*)*)?)*)?>"
+                      r"|^<(?:i(?:x[it](?:\.i)*(?:b[it](?:\.i)*)*)?,?)+>")
+#: Words that mean something in their place only.
+_JAVA_PLACED = (("r", re.compile(r"r(?!i[(<])"), "i"), ("v", re.compile(r"(?<=[i>])v(?=i)"), "V"), ("v", re.compile("v"), "i"),
+                ("g", re.compile(r"g(?=[mcfe@])"), "m"), ("g", re.compile("g"), "i"), ("y", re.compile(r"y(?![=.(\[]|u;)"), "R"), ("y", re.compile("y"), "i"),
+                ("s", re.compile(r"s(?!\()"), "m"), (".", re.compile(r"(?<=\.)c"), "i"), ("@", re.compile("@f"), "f"))
+
+
+def _java_plain(s: str) -> str:
+    """Classes without annotations and type arguments."""
+    if "@" in s:
+        s = _ANNOTATION.sub("", s)
+    while "<" in s:
         t = _GENERIC.sub("", s)
         if t == s:
-            return s
+            break
         s = t
+    return s
 
 
-def _split(s: str) -> list[str]:
-    """Statements of a block: each ends with a semicolon or a block that no operand continues."""
-    return re.findall(r"[^;C]*(?:;|C)|[^;C]+$", s)
-
-
-def _java_braces_role(s: str) -> str:
-    """What braces that open after the classes ``s`` hold."""
-    tail = re.split(r"[;C]", s)[-1]
-    if re.search(r"(?:=|B|,|^|\()$", tail) and (tail.endswith("=") or re.search(r"N[it](?:\.i)*B+$", tail)):
+@_remembered
+def _java_braces_role(parent: str, ended: bool, tail: str) -> str:
+    """What braces that open after the classes ``tail`` hold."""
+    if parent == "array":
+        return "array"
+    tail = _java_plain(tail)
+    if re.search(r"(?:=|B|,|^|pd)$", tail) and (tail.endswith(("=", "d")) or re.search(r"N[it](?:\.i)*B+$", tail)):
         return "array"
     if re.search(r"N[it](?:\.i)*[pP]$", tail):
         return "anonymous"
     if tail.endswith("L"):
         return "lambda" if not re.match(r"(?:K|d)", tail) else "block"
-    if re.search(r"(?:[=(,RL?:]|^)SP$", tail) and tail != "SP" or re.search(r"[=(,R?:L]SP$", tail):
-        return "switched"
-    if re.search(r"ci(?:x.*)?$", tail) or re.search(r"ri[pP](?:x.*)?$", tail):
+    if tail.endswith("SP"):
+        return "switched" if re.search(r"[=(,R?:Lb+]SP$", tail) or parent == "(" else "switch"
+    if re.search(r"ei(?:G.*)?$", tail):
+        return "enum"
+    if re.search(r"[cf]i(?:[xGV].*)?$", tail) or re.search(r"ri[pP](?:G.*)?$", tail):
         return "class"
+    if parent == "enum" and not ended and re.search(r"(?:^|,)i[pP]?$", tail):
+        return "anonymous"
     return "block"
 
 
-def java_valid(source: str) -> bool:
-    """Whether ``source`` is a compilation unit of Java 17; names and types need not resolve."""
-    found, state = lexing.tokens("java", source)
-    if state != lexing.CODE:
+@_remembered
+def _java_piece(s: str) -> tuple | None:
+    """A statement of a Java block for :func:`_bound`."""
+    labels = _JAVA_LABELS.match(s).end()
+    rest = s[labels:]
+    if labels and not rest:
+        return True, (), "other"
+    if arrow := _JAVA_ARROW.match(rest):
+        return (True, (), "other") if not labels and _JAVA_ARROWED.fullmatch(rest, arrow.end()) else None
+    return _led(labels > 0, rest, _JAVA_CORE)
+
+
+def _led(fresh: bool, rest: str, core: re.Pattern) -> tuple | None:
+    lead = []
+    while m := _LEADS.match(rest):
+        if m[0] == "WP" and rest == "WP;":
+            break
+        lead.append("L" if m[0] == "i:" else m[0][0])
+        rest = rest[m.end():]
+    if rest == "WP;":
+        return fresh, tuple(lead), "while"
+    if not core.fullmatch(rest):
+        return None
+    kind = {"Y": "resources" if rest[:2] == "YP" else "try", "H": "catch", "Z": "finally"}.get(rest[0], "other")
+    return fresh, tuple(lead), kind
+
+
+def _java_switch(pieces: list[str]) -> bool:
+    """Whether a switch's body begins with a label and has labels of one kind."""
+    cases = [p for p in pieces if p[0] in "Kd" or p.startswith("n,dL")]
+    arrows = [p for p in cases if _JAVA_ARROW.match(p)]
+    return not pieces or pieces[0] in cases and len(arrows) in (0, len(cases)) and (not arrows or len(arrows) == len(pieces))
+
+
+@_remembered
+def _java_group(role: str, s: str) -> bool:
+    s = _java_plain(s)
+    if role == "array":
+        return bool(_JAVA_ARRAY.fullmatch(s))
+    if role in ("class", "anonymous", "enum"):
+        s = re.sub(r"(?<![pPB])d(?![:L])", "m", s) if "d" in s else s
+        if role == "enum":
+            head, _, s = s.partition(";")
+            if not _JAVA_ENUM.fullmatch(head):
+                return False
+        return all(map(_JAVA_MEMBER.fullmatch, _pieces(s)))
+    pieces = _pieces(s)
+    if role in ("switch", "switched"):
+        return _java_switch(pieces) and _bound(pieces, _java_piece)
+    if any(p[0] in "Kd" for p in pieces):
+        return False  # a case outside of a switch
+    return _bound(pieces, _java_piece)
+
+
+@_remembered
+def _java_parens(role: str, s: str) -> bool:
+    s = _java_plain(s)
+    return bool(_JAVA_PARENS.get(role, _JAVA_LIST).fullmatch(s)) if s else not role
+
+
+@_remembered
+def _java_index(s: str) -> bool:
+    return bool(_JAVA_INDEX.fullmatch(_java_plain(s)))
+
+
+def java_parses(stream: str) -> bool:
+    """Whether a balanced stream is a compilation unit of Java 17; names and types need not resolve."""
+    for letter, pattern, to in _JAVA_PLACED:
+        if letter in stream:
+            stream = pattern.sub(to, stream)
+    if "X" in stream or "#" in stream:
         return False
     stack = [_Frame("", "unit")]
-    for k, t in enumerate(found):
-        top = stack[-1].classes
-        if t.kind == "word":
-            c = _JAVA_WORDS.get(t.text, "i")
-            if t.text == "default" and k + 1 < len(found) and found[k + 1].text not in (":", "->") and stack[-1].role in ("class", "anonymous"):
-                c = "m" if top[-1:] != ["p"] and top[-1:] != ["P"] else "d"
-            elif t.text == "record" and k + 2 < len(found) and found[k + 1].kind == "word" and found[k + 2].text in ("(", "<"):
-                c = "r"
-            elif t.text in ("sealed", "non") and stack[-1].role in ("unit", "class") and k + 1 < len(found) and found[k + 1].kind in ("word", "op"):
-                c = "m"
-            elif t.text == "permits" and stack[-1].role in ("unit", "class"):
-                c = "x"
-            elif t.text == "yield" and k + 1 < len(found) and found[k + 1].text not in ("=", ".", "("):
-                c = "R"
-            elif t.text == "synchronized" and not (k + 1 < len(found) and found[k + 1].text == "("):
-                c = "m"
-            elif t.text == "class" and top[-1:] == ["."]:
-                c = "i"
-            elif t.text == "interface" and top[-1:] == ["@"]:
-                top.pop()
-            elif t.text == "enum":
-                top.append("c")
-                stack[-1].role += "+enum"
-                continue
-            top.append(c)
-        elif t.kind in ("number", "string"):
-            top.append("n")
-        elif t.kind == "op":
-            top.append(_op(t.text))
-        elif t.kind == "open":
-            role = ""
-            if t.text == "{":
-                parent = stack[-1]
-                s = _ANNOTATION.sub("", _without_generics("".join(top)))
-                role = "array" if parent.role == "array" else _java_braces_role(s)
-                if role == "class" and parent.role.endswith("+enum"):
-                    parent.role, role = parent.role[:-5], "enum"
-                if parent.role.startswith("enum") and re.search(r"(?:^|,)i[pP]?$", s) and ";" not in s:
-                    role = "anonymous"
-            elif t.text == "(":
-                role = top[-1] if top and top[-1] in "FYHIWSs" else ""
-            stack.append(_Frame(t.text, role))
-        else:
-            if len(stack) == 1 or lexing._PAIRS[t.text] != stack[-1].bracket:
-                return False
-            frame = stack.pop()
-            s = _without_generics("".join(frame.classes))
-            up = stack[-1].classes
-            if t.text == ")":
-                s = _ANNOTATION.sub("", s)
-                pattern = _JAVA_PARENS.get(frame.role, _JAVA_LIST)
-                if s and not pattern.fullmatch(s) or not s and frame.role:
+    for part in _SPLIT.split(stream):
+        top = stack[-1]
+        if part == "{":
+            stack.append(_Frame(part, _java_braces_role(top.role or top.bracket, top.ended, _tail(top.parts))))
+        elif part == "(":
+            last = top.parts[-1][-1] if top.parts else ""
+            stack.append(_Frame(part, last if last and last in "FYHIWSs" else ""))
+        elif part == "[":
+            stack.append(_Frame(part, ""))
+        elif part in (")", "]", "}") and part:
+            frame, s = stack.pop(), "".join(top.parts)
+            up = stack[-1].parts
+            if part == ")":
+                if not _java_parens(frame.role, s):
                     return False
                 up.append("P" if s else "p")
-            elif t.text == "]":
-                if not _JAVA_INDEX.fullmatch(s):
+            elif part == "]":
+                if not _java_index(s):
                     return False
                 up.append("B")
             else:
-                if not _java_group(frame.role, _ANNOTATION.sub("", s)):
+                if not _java_group(frame.role, s):
                     return False
-                up.append("C" if frame.role in ("block", "class", "enum") else "o")
                 if frame.role == "switched":
-                    up[-3:] = ["n"]
-                elif frame.role == "lambda":
-                    up[-1] = "n"
-    if len(stack) > 1:
-        return False
-    return bool(_JAVA_UNIT.fullmatch(_ANNOTATION.sub("", _without_generics("".join(stack[0].classes)))))
-
-
-def _java_group(role: str, s: str) -> bool:
-    role = role.removesuffix("+enum")
-    if role == "array":
-        return bool(_JAVA_ARRAY.fullmatch(s))
-    if role == "enum":
-        head, _, body = s.partition(";")
-        return bool(_JAVA_ENUM.fullmatch(head)) and all(map(_JAVA_MEMBER.fullmatch, _split(body)))
-    if role in ("class", "anonymous"):
-        return all(map(_JAVA_MEMBER.fullmatch, _split(s)))
-    # An else belongs to the statement of an if; a catch or finally to a try.
-    return (all(map(_JAVA_STATEMENT.fullmatch, _split(s))) and s.count("E") <= s.count("I")
-            and s.count("Y") >= (1 if "H" in s or "Z" in s else 0))
+                    joined = "".join(up[-3:])
+                    up[-3:] = [joined[:-2] + "n"] if joined.endswith("SP") else [joined, "X"]
+                else:
+                    up.append({"lambda": "n", "array": "o", "anonymous": "o"}.get(frame.role, "C"))
+        elif part:
+            top.parts.append(part)
+            top.ended = top.ended or ";" in part
+    return bool(_JAVA_UNIT.fullmatch(_java_plain("".join(stack[0].parts))))
 
 
 # --- JavaScript -----------------------------------------------------------------------------------------------------
-_JPOST = r"(?:\.[a-zA-Z#]|[pP]|B|u|\.[pPB])"
-_JOPD = r"(?:i|n|P|B|o|p(?=L))"
-_JUNIT = rf"[!+u~]*{_JOPD}{_JPOST}*"
-_JX = rf"(?:{_JUNIT}(?:[b+<>=?:L]{_JUNIT})*)"
+_JPOST = r"(?:\.[a-zA-Z#]|[pP]|B|u)"
+_JOPD = r"(?:i|n|P|B|o|q(?=[pP])|!(?=\.))"
+_JUNIT = rf"(?:G?[!+u~]*{_JOPD}{_JPOST}*|G)"
+_JPART = rf"(?:[ipP]L)*(?:A|{_JUNIT}(?:[b+<>]{_JUNIT})*)"
+_JX = rf"(?:{_JPART}(?:(?:[?:]|(?<=[iBo])=){_JPART})*)"
 _JXS = rf"{_JX}(?:,{_JX})*"
-_JVAR = rf"v[iBo](?:={_JX})?(?:,[iBo](?:={_JX})?)*"
-_JLEAD = r"(?:IP|WP|FP|FiP|EIP|E|D|i:)*"
-_JLABEL = rf"(?:(?:K{_JXS}|d):)*"
-_JS_STATEMENT = re.compile(
-    rf"{_JLABEL}{_JLEAD}(?:;|R(?:{_JXS})?;|T{_JXS};|Ji?;|{_JVAR};|{_JXS};|C|SPC|YC|HP?C|ZC|f\*?i[pP]C|ci(?:x{_JX})?C|q.*;|ed?(?:{_JVAR};|{_JXS};|f\*?i?[pP]C|ci?(?:x{_JX})?C|o(?:in)?;|b(?:ii)?in;))|WP;|{_JLABEL}")
+_JVAR = rf"(?:v(?:i|[Bo](?==))(?:={_JX})?(?:,(?:i|[Bo](?==))(?:={_JX})?)*|k[iBo]={_JX}(?:,[iBo]={_JX})*)"
+_JS_LABELS = re.compile(rf"(?:(?:K{_JXS}|d):)*")
+_JS_CORE = re.compile(
+    rf";|R(?:{_JXS})?;|T{_JXS};|Ji?;|{_JVAR};|{_JXS};|C|SPC|YC|HP?C|ZC|fi[pP]C|ci(?:x{_JX})?C|q.*;"
+    rf"|ed?(?:{_JVAR};|{_JXS};|fi?[pP]C|ci?(?:x{_JX})?C|o(?:in)?;|b(?:ii)?in;)")
 _JS_PARENS = {
-    "F": re.compile(rf"(?:{_JVAR}|{_JXS})?;(?:{_JXS})?;(?:{_JXS})?|v?{_JUNIT}(?:b|i){_JX}"),
+    "F": re.compile(rf"(?:{_JVAR}|{_JXS})?;(?:{_JXS})?;(?:{_JXS})?|(?:[vk][iBo]|{_JUNIT})(?:b|O){_JX}"),
     "H": re.compile(r"[iBo]"), "I": re.compile(_JXS), "W": re.compile(_JXS), "S": re.compile(_JXS),
 }
 _JS_LIST = re.compile(rf"(?:{_JXS}),?")
 _JS_ARRAY = re.compile(rf"(?:(?:{_JX})?,)*(?:{_JX})?")
 _KEY = r"(?:[a-zA-Z#!]|B)"
 _JS_OBJECT = re.compile(
-    rf"(?:(?:{_KEY}:{_JX}|~{_JX}|i(?:={_JX})?|[nv]|(?:i|b|{_KEY})?{_KEY}[pP]C)(?:,|$))*")
-_JS_NAMES = re.compile(r"(?:[ind](?:i[ind])?,)*(?:[ind](?:i[ind])?)?")
-_JS_MEMBER = re.compile(rf"(?:[ib]*{_KEY}[pP]C|i*{_KEY}(?:={_JX})?;|iC|;)")
-_ENDS_OPERAND = frozenset("inPpBouJC")
-_STARTS = frozenset("invfcIWFDSRTJYqe!KdE")
-
-
-def _js_braces_role(s: str, parent: str, before: str) -> str:
-    tail = re.split(r"[;C]", s)[-1]
+    rf"(?:(?:{_KEY}:{_JX}|~{_JX}|i(?:={_JX})?|[nvyg]|(?:[gy]*b?){_KEY}[pP]C)(?:,|$))*")
+_JS_NAMES = re.compile(r"(?:[a-zA-Z](?:i[a-zA-Z])?,)*(?:[a-zA-Z](?:i[a-zA-Z])?)?")
+_JS_MEMBER = re.compile(rf"(?:[gy]*b?{_KEY}[pP]C|[gy]*{_KEY}(?:={_JX})?;|[gi]C|;)")
+_JS_ENDS = "[inpPBouJAR`]"
+_JS_STARTS = "[invkfcIWFDSRTJYqe!KdEygGCu~]"
+_JS_LINE = re.compile(rf"(?<={_JS_ENDS})\n+(?={_JS_STARTS})")
+_JS_BODY = ("block", "function", "arrow", "method", "class", "switch")
+_JS_ASYNC = re.compile(r"y(?=\n*(?:f|iL|[pP]L))")
+
+
+@_remembered
+def _js_lines(role: str, s: str) -> str:
+    """Classes with the semicolons that line ends stand for, and templates as operands or calls."""
+    if "`" in s:
+        s = re.sub(r"(?<=[ipPB])`", "p", s).replace("`", "n")
+    if "y" in s:
+        s = _JS_ASYNC.sub("", s)
+    if role not in ("object", "class"):
+        s = re.sub(r"[yg]", "i", s)
+    if "O" in s and role != "F":
+        s = s.replace("O", "i")
+    if "\n" in s:
+        if role in _JS_BODY:
+            # A body follows its head on whatever line.
+            s = _JS_LINE.sub(lambda m: "\n" if s[m.end()] == "C" and s[m.start() - 1] in "pP" or re.search("[IWF]!?P$", s[max(0, m.start() - 3):m.start()]) else ";", s)
+        s = s.replace("\n", "")
+    return s.replace("fb", "f").replace("F!", "F")
+
+
+@_remembered
+def _js_braces_role(parent: str, inside: str, tail: str) -> str:
+    tail = re.split(r"[;C]", _js_lines(parent if parent in _JS_BODY else "block", tail))[-1]
     if parent == "block" and re.fullmatch(r"q(?:i,)?|e", tail):
         return "names"
     if re.search(r"ci?(?:x.*)?$", tail):
@@ -241,138 +352,314 @@ def _js_braces_role(s: str, parent: str, before: str) -> str:
         return "function"
     if tail.endswith("L"):
         return "arrow"
-    if parent in ("object", "class") and re.search(r"(?:^|,|i|b|[a-zA-Z#]|B)[pP]$", tail):
+    if parent in ("object", "class") and re.search(r"(?:^|,|[a-zA-Z#!]|B)[pP]$", tail):
         return "method"
-    if parent in ("(", "[", "object") or re.search(r"(?:[=(,?b+<>!~RT]|v|^q|^e|^ed|[^K].*:)$", tail) and not re.fullmatch(r"(?:[^?]*K[^?]*|d|i):", tail):
+    if tail == "SP" or re.search(r"(?:^|:)SP$", tail):
+        return "switch"
+    if parent in ("(", "[", "object") or re.search(r"(?:[=(,?b+<>!~RTG]|[vk]|^q|^e|^ed|[^K].*:)$", tail) and not re.fullmatch(r"(?:[^?]*K[^?]*|d|i):", tail):
         return "object"
     return "block"
 
 
-def js_valid(source: str) -> bool:
-    """Whether ``source`` is an ECMAScript script or module."""
-    found, state = lexing.tokens("js", source)
-    if state != lexing.CODE:
+@_remembered
+def _js_piece(s: str) -> tuple | None:
+    labels = _JS_LABELS.match(s).end()
+    rest = s[labels:]
+    if labels and not rest:
+        return True, (), "other"
+    # A colon belongs to a question mark, a case, a default or a label.
+    if ":" in s and s.count(":") > s.count("?") + s.count("K") + s.count("d:") + len(re.findall(r"(?:^|[:PDE])i(?=:)", s)):
+        return None
+    return _led(labels > 0, rest, _JS_CORE)
+
+
+@_remembered
+def _js_group(role: str, inside: bool, s: str) -> bool:
+    if role in ("object", "names"):
+        return bool((_JS_OBJECT if role == "object" else _JS_NAMES).fullmatch(_js_lines(role, s)))
+    s = _js_lines(role, s)
+    if s and s[-1] not in ";C":
+        s += ";"
+    pieces = _pieces(s)
+    if role == "class":
+        return all(map(_JS_MEMBER.fullmatch, pieces))
+    if not inside and "R" in s:
+        return False  # a return outside of a function
+    if role != "switch" and any(_JS_LABELS.match(p).end() for p in pieces):
+        return False
+    return _bound(pieces, _js_piece)
+
+
+@_remembered
+def _js_parens(role: str, s: str) -> bool:
+    s = _js_lines(role, s)
+    return bool(_JS_PARENS.get(role, _JS_LIST).fullmatch(s)) if s else role not in _JS_PARENS
+
+
+@_remembered
+def _js_index(s: str) -> bool:
+    return bool(_JS_ARRAY.fullmatch(_js_lines("[", s)))
+
+
+def js_parses(stream: str) -> bool:
+    """Whether a balanced stream is an ECMAScript script or module."""
+    if "X" in stream or "#" in stream:
         return False
+    stream = re.sub(r"\.\n*[a-zA-Z!]", ".i", stream)
     stack = [_Frame("", "block")]
-    for k, t in enumerate(found):
-        frame = stack[-1]
-        top = frame.classes
-        blockish = frame.role in ("block", "function", "arrow", "method", "class")
-        if t.kind == "word":
-            after = found[k + 1] if k + 1 < len(found) else None
-            if t.text == "async" and after and not after.newline and (after.text == "function" or after.kind == "word" or after.text == "("):
-                if not (after.text == "(" and frame.role not in ("object", "class") and not _arrow_follows(found, k + 1)):
-                    continue
-            if t.text in ("get", "set", "static") and frame.role in ("object", "class") and after and (after.kind in ("word", "string") or after.text == "["):
-                continue
-            c = _JS_WORDS.get(t.text, "i")
-            if top[-1:] == ["."] or frame.role in ("object", "class") and after and after.text in ("(", ":") and top[-1:] in ([], [","], [";"], ["C"]):
-                c = "i"
-            elif t.text == "of" and frame.role == "F":
-                c = "b"
-            elif t.text == "from" and top[:1] and "q" in "".join(top) or t.text == "as":
-                c = "i"
-        elif t.kind in ("number", "string"):
-            c = "n"
-            if t.text[0] == "`" and top and top[-1] in "ipPB" and not (t.newline and blockish):
-                c = "p"  # a tagged template is a call
-        elif t.kind == "op":
-            c = _op(t.text)
-            if t.text == "*" and (top[-1:] == ["f"] or k and found[k - 1].text == "yield"):
-                continue
-        elif t.kind == "open":
-            c = t.text
-        else:
-            c = ""
-        if blockish and t.newline and top and top[-1] in _ENDS_OPERAND and (c in _STARTS or c in ("{", "u")) and top[-1] != "C":
-            if not (c == "{" and top[-1] in "pP"):
-                top.append(";")
-        if t.kind == "open":
-            role = t.text
-            if t.text == "{":
-                role = _js_braces_role("".join(top), frame.role, frame.bracket)
-            elif t.text == "(":
-                role = top[-1] if top and top[-1] in "FHIWS" else "("
-                if top[-2:] == ["F", "!"]:
-                    top.pop()
-                    role = "F"
-            stack.append(_Frame(t.text, role))
-        elif t.kind != "close":
-            top.append(c)
-        else:
-            if len(stack) == 1 or lexing._PAIRS[t.text] != frame.bracket:
-                return False
-            stack.pop()
-            s, up = "".join(top), stack[-1].classes
-            if t.text == ")":
-                if s and not _JS_PARENS.get(frame.role, _JS_LIST).fullmatch(s) or not s and frame.role in _JS_PARENS:
+    for part in _SPLIT.split(stream):
+        top = stack[-1]
+        if part == "{":
+            role = _js_braces_role(top.role, "", _tail(top.parts))
+            stack.append(_Frame(part, role, top.inside or role in ("function", "arrow", "method")))
+        elif part == "(":
+            last = top.parts[-1].rstrip("\n") if top.parts else ""
+            role = "F" if last.endswith("F!") else last[-1:] if last and last[-1] in "FHIWS" else "("
+            stack.append(_Frame(part, role, top.inside))
+        elif part == "[":
+            stack.append(_Frame(part, "[", top.inside))
+        elif part and part in ")]}":
+            frame, s = stack.pop(), "".join(top.parts)
+            up = stack[-1].parts
+            if part == ")":
+                if not _js_parens(frame.role, s):
                     return False
-                up.append("P" if s else "p")
-            elif t.text == "]":
-                if not _JS_ARRAY.fullmatch(s):
+                up.append("P" if s.strip("\n") else "p")
+            elif part == "]":
+                if not _js_index(s):
                     return False
                 up.append("B")
-            elif not _js_group(frame.role, s):
+            elif not _js_group(frame.role, frame.inside, s):
                 return False
             else:
-                joined = "".join(up)
-                up.append("C")
-                if frame.role in ("object", "arrow", "names"):
-                    up[-1] = "o"
-                elif frame.role in ("function", "class"):
-                    head = re.search(r"(?:fi?[pP]|ci?(?:x[^;C]*)?)$", joined)
-                    start = head.start() if head else len(joined)
-                    if joined[:start] and joined[start - 1] not in ";C:E" and not re.search(r"(?:^|[;C])ed?$", joined[:start]) \
-                            or stack[-1].role in ("(", "[", "object"):
-                        up[start:] = ["o"]
-    if len(stack) > 1:
-        return False
-    return _js_group("block", "".join(stack[0].classes))
+                before = _tail(up)
+                up.append({"object": "o", "arrow": "A", "names": "o"}.get(frame.role, "C"))
+                if frame.role in ("function", "class"):
+                    _as_operand(stack[-1], before)
+        elif part:
+            top.parts.append(part)
+    return _js_group("block", False, "".join(stack[0].parts))
+
+
+_HEAD = re.compile(r"(?:f\*?b?i?[pP]|ci?(?:x[^;C]*)?)$")
+
+
+def _as_operand(frame: _Frame, before: str) -> None:
+    """Replace the head and the body of a function or class by one operand where it is no declaration."""
+    up = frame.parts
+    plain = before.replace("\n", "")
+    head = _HEAD.search(plain)
+    start = head.start() if head else len(plain)
+    lead = _js_lines("block", before[:max(0, len(before) - (len(plain) - start))]) if "\n" in before else plain[:start]
+    lead = lead.rstrip("y")
+    starts_line = "\n" in before and re.search(rf"{_JS_ENDS}\n+y?$", before[:_position(before, start)])
+    if frame.role in ("(", "[", "object") or lead and lead[-1] not in ";C:E" and not re.search(r"(?:^|;)ed?$", lead) and not starts_line:
+        tail_length = len(before) - _position(before, start)
+        text = "".join(up)
+        up[:] = [text[:len(text) - 1 - tail_length].rstrip("\n").removesuffix("y") if lead != plain[:start] else text[:len(text) - 1 - tail_length], "o"]
+
+
+def _position(s: str, k: int) -> int:
+    """Where the ``k``-th class of ``s`` that is no line end stands."""
+    for at, c in enumerate(s):
+        if c != "\n":
+            if k == 0:
+                return at
+            k -= 1
+    return len(s)
+
+
+# --- Python ---------------------------------------------------------------------------------------------------------
+_NM = "[imku]"
+_ATOM = "(?:[imkun]|s+|[pPBEO])"
+_PPOST = rf"(?:\.{_NM}|[pP]|B)"
+_U = rf"[!+]*{_ATOM}{_PPOST}*"
+_C = rf"{_U}(?:[b+*^a@]{_U})*"
+_D = rf"h*{_C}(?:oh*{_C})*"
+_LPAR = rf"(?:[*^]{_NM}|{_NM}(?:={_D})?|[*b])"
+_LAM = rf"L(?:{_LPAR}(?:,{_LPAR})*,?)?:"
+_PX = rf"(?:{_LAM})*{_D}(?:f{_D}e(?:{_LAM})*{_D})*"
+_PXN = rf"(?:{_NM}V)?{_PX}"
+_SX = rf"(?:\*{_D}|{_PX})"
+_PXS = rf"{_SX}(?:,{_SX})*,?"
+_SXN = rf"(?:\*{_D}|{_PXN})"
+_SXNS = rf"{_SXN}(?:,{_SXN})*,?"
+_YX = rf"Y(?:Q{_PX}|{_PXS})?"
+_RHS = rf"(?:{_PXS}|{_YX})"
+_PLACE = rf"(?:{_ATOM}{_PPOST}*(?:\.{_NM}|B)|{_NM})"
+_TT = rf"\*?(?:{_PLACE}|[PpBE])"
+_TL = rf"{_TT}(?:,{_TT})*,?"
+_COMP = rf"(?:z?r{_TL}a{_D}(?:f(?:{_NM}V)?{_D})*)+"
+_ITEM = rf"{_PX}(?:A{_TT})?"
+_PA, _KA = rf"(?:\*{_PX}|{_PXN})", rf"(?:{_NM}={_PX}|[*^]{_PX})"
+_IMPORTED = rf"{_NM}(?:A{_NM})?(?:,{_NM}(?:A{_NM})?)*"
+_PPAR = rf"(?:{_NM}(?::{_PX})?(?:={_PX})?|\*(?:{_NM}(?::\*?{_PX})?)?|\^{_NM}(?::{_PX})?|b)"
+_KV = rf"(?:{_PX}:{_PX}|\^{_D})"
+_SLICE = rf"(?:(?:{_PX})?:(?:{_PX})?(?::(?:{_PX})?)?|{_PXN}|\*{_D})"
+_PY_GROUPS = {
+    "group": re.compile(rf"{_SXNS}|{_YX}|{_PXN}{_COMP}"),
+    "call": re.compile(rf"(?:{_PA}(?:,{_PA})*(?:,{_KA}(?:,{_KA})*)?|{_KA}(?:,{_KA})*),?|{_PXN}{_COMP}|{_YX}"),
+    "parameters": re.compile(rf"{_PPAR}(?:,{_PPAR})*,?"),
+    "names": re.compile(rf"{_IMPORTED},?"),
+    "items": re.compile(rf"{_ITEM}(?:,{_ITEM})*,?|{_SXNS}"),
+    "index": re.compile(rf"{_SLICE}(?:,{_SLICE})*,?"),
+    "list": re.compile(rf"{_SXNS}|{_PXN}{_COMP}"),
+    "braces": re.compile(rf"{_KV}(?:,{_KV})*,?|{_PX}:{_PX}{_COMP}|{_SXNS}|{_PXN}{_COMP}"),
+}
+_SIMPLE = re.compile(
+    rf"{_PXS}|(?:{_TL}=)+{_RHS}|{_PLACE}~{_RHS}|(?:{_PLACE}|P):{_PX}(?:={_RHS})?|{_YX}|R(?:{_PXS})?|T(?:{_PX}(?:Q{_PX})?)?|K|g{_NM}(?:,{_NM})*|D{_TL}"
+    rf"|S{_PX}(?:,{_PX})?|q{_NM}(?:\.{_NM})*(?:A{_NM})?(?:,{_NM}(?:\.{_NM})*(?:A{_NM})?)*|Q(?:[.n]+(?:{_NM}(?:\.{_NM})*)?|{_NM}(?:\.{_NM})*)q(?:\*|{_IMPORTED}|P)|u{_NM}B?={_PX}")
+_PY_HEAD = re.compile(
+    rf"(?:f{_PXN}|l{_PXN}|w{_PXN}|e|z?r{_TL}a{_PXS}|t|x(?:\*?{_PX}(?:A{_NM})?)?|y|z?W{_ITEM}(?:,{_ITEM})*|z?d{_NM}B?[pP](?:>{_PX})?|c{_NM}B?[pP]?|m{_PXS}|k.+?):")
+_PY_KINDS = {"f": "if", "l": "elif", "w": "loop", "r": "loop", "e": "else", "t": "try", "x": "except", "y": "finally", "W": "with", "d": "def", "c": "def", "m": "match", "k": "case"}
+#: What may follow a statement of a kind at its own indentation.
+_PY_FOLLOWS = {"elif": ("if", "elif"), "else": ("if", "elif", "loop", "except"), "except": ("try", "except"), "finally": ("try", "except", "tried")}
+_MARKS = re.compile(f"[{chr(lexing.INDENT)}-{chr(lexing.INDENT + lexing.WIDEST)}]")
 
 
-def _arrow_follows(found: list, at: int) -> bool:
-    depth = 0
-    for k in range(at, len(found)):
-        depth += {"open": 1, "close": -1}.get(found[k].kind, 0)
-        if depth == 0:
-            return k + 1 < len(found) and found[k + 1].text == "=>"
-    return False
+def _py_plain(s: str) -> str:
+    return s.replace("ha", "b").replace("jh", "b").replace("j", "b")
 
 
-def _js_group(role: str, s: str) -> bool:
-    if role in ("object", "names"):
-        return bool((_JS_OBJECT if role == "object" else _JS_NAMES).fullmatch(s))
-    if s and s[-1] not in ";C":
-        s += ";"
-    pattern = _JS_MEMBER if role == "class" else _JS_STATEMENT
-    parts = _split(s)
-    if not all(map(pattern.fullmatch, parts)) or s.count("E") > s.count("I"):
+@_remembered
+def _py_group(kind: str, s: str) -> bool:
+    s = _py_plain(s)
+    if not _PY_GROUPS[kind].fullmatch(s):
         return False
-    # A colon belongs to a question mark, a case, a default or a label.
-    return all(x.count(":") <= x.count("?") + x.count("K") + x.count("d:") + len(re.findall(r"(?:^|[:PDE])i(?=:)", x)) for x in parts if ":" in x)
+    if kind == "parameters":
+        given = False
+        for p in s.split(","):
+            if p[:1] in ("*", "^", "L") or "L" in s:
+                break
+            if p and p != "b":
+                if given and "=" not in p:
+                    return False  # a parameter without a default after one that has it
+                given = "=" in p
+    return True
 
 
-# --- Python and JSON ------------------------------------------------------------------------------------------------
-def py_valid(source: str) -> bool:
-    """Whether ``source`` is a Python 3 module; each statement is parsed by the running Python's own grammar."""
-    try:
-        ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+@_remembered
+def _py_line(s: str) -> tuple[str, bool] | None:
+    """(kind, whether a block follows) of a logical line."""
+    s = _py_plain(s)
+    if s[0] == "@":
+        return ("decorator", False) if re.fullmatch(_PXN, s[1:]) else None
+    if all(_SIMPLE.fullmatch(x) for x in (s[:-1] if s[-1] == ";" else s).split(";")):
+        return "simple", False
+    m = _PY_HEAD.match(s)
+    if not m:
+        return None
+    kind = _PY_KINDS[s[1] if s[0] == "z" else s[0]]
+    rest = s[m.end():]
+    if not rest:
+        return kind, True
+    if kind == "match" or not all(_SIMPLE.fullmatch(x) for x in (rest[:-1] if rest[-1] == ";" else rest).split(";")):
+        return None
+    return kind, False
+
+
+def _py_blocks(lines: list[tuple[int, str]]) -> bool:
+    """Whether logical lines with their indentation form blocks."""
+    levels: list[list] = [[0, "", ""]]  # indentation, kind of the last statement, kind of the block
+    wanted = ""
+    for width, s in lines:
+        told = _py_line(s)
+        if told is None:
+            return False
+        kind, opens = told
+        if wanted:
+            if width <= levels[-1][0]:
+                return False
+            levels.append([width, "", wanted])
+        elif width > levels[-1][0]:
+            return False
+        while width < levels[-1][0]:
+            if levels.pop()[1] in ("try", "decorator"):
+                return False
+        here = levels[-1]
+        if width != here[0]:
+            return False
+        before = here[1]
+        if kind in _PY_FOLLOWS:
+            if before not in _PY_FOLLOWS[kind]:
+                return False
+            if kind == "else":
+                kind = "tried" if before == "except" else "done"
+        elif before == "try" or before == "decorator" and kind not in ("def", "decorator"):
+            return False
+        if (here[2] == "match") != (kind == "case"):
+            return False
+        here[1] = kind
+        wanted = told[0] if opens else ""
+    return not wanted and not any(x[1] in ("try", "decorator") for x in levels)
+
+
+def py_parses(stream: str) -> bool:
+    """Whether a balanced stream is a Python 3 module."""
+    if "X" in stream:
         return False
-    return True
+    stack = [_Frame("", "module")]
+    for part in _SPLIT.split(stream):
+        top = stack[-1]
+        if part and part in "([{":
+            before = "".join(top.parts[-2:])
+            last = before[-1:]
+            after = last != "" and last in "imkunsPpBEO"
+            if part == "(":
+                role = ("parameters" if re.search(rf"d{_NM}B?$", before) or re.search(rf"d{_NM}B?$", "".join(top.parts[-4:])) else "call") if after else {
+                    "q": "names", "W": "items"}.get(last, "group")
+            else:
+                role = "braces" if part == "{" else "index" if after else "list"
+            stack.append(_Frame(part, role))
+        elif part and part in ")]}":
+            frame, s = stack.pop(), "".join(top.parts)
+            if s and not _py_group(frame.role, s) or not s and frame.role in ("index", "names"):
+                return False
+            stack[-1].parts.append("O" if part == "}" else ("B" if s else "E") if part == "]" else "P" if s else "p")
+        elif part:
+            top.parts.append(_MARKS.sub("", part) if len(stack) > 1 else part)
+    lines, width, at = [], 0, 0
+    text = "".join(stack[0].parts)
+    for m in _MARKS.finditer(text):
+        if m.start() > at:
+            lines.append((width, text[at:m.start()]))
+        width, at = ord(m[0]) - lexing.INDENT, m.end()
+    if at < len(text):
+        lines.append((width, text[at:]))
+    return _py_blocks(lines)
+
 
+# --- JSON -----------------------------------------------------------------------------------------------------------
+_JSON_GROUPS = {"{": re.compile(r"(?:s:[snOB](?:,s:[snOB])*)?"), "[": re.compile(r"(?:[snOB](?:,[snOB])*)?")}
 
-def _refused(constant: str) -> None:
-    raise ValueError(constant)
 
+@_remembered
+def _json_group(bracket: str, s: str) -> bool:
+    return bool(_JSON_GROUPS[bracket].fullmatch(s))
 
-def json_valid(source: str) -> bool:
-    """Whether ``source`` is one JSON value."""
-    try:
-        json.loads(source, parse_constant=_refused)
-    except (ValueError, RecursionError):
+
+def json_parses(stream: str) -> bool:
+    """Whether a balanced stream is one JSON value."""
+    if "(" in stream:
         return False
-    return True
+    stack: list[list[str]] = [[]]
+    for part in _SPLIT.split(stream):
+        if part in ("{", "["):
+            stack.append([])
+        elif part in ("}", "]"):
+            s = "".join(stack.pop())
+            if not _json_group("{" if part == "}" else "[", s):
+                return False
+            stack[-1].append("O" if part == "}" else "B")
+        elif part:
+            stack[-1].append(part)
+    return "".join(stack[0]) in ("s", "n", "O", "B")
+
+
+PARSES = {"java": java_parses, "js": js_parses, "py": py_parses, "json": json_parses}
 
 
-VALID = {"java": java_valid, "js": js_valid, "py": py_valid, "json": json_valid}
+def valid(language: str, text: str) -> bool:
+    """Whether a whole text is valid in a language."""
+    stream = lexing.stream(language, text)
+    return stream is not None and PARSES[language](stream)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,13 +11,13 @@ from pyspark.sql import functions as F
 from codeloom.llm import grammars, lexing
 
 #: Lines of one chunk. A file's chunks are lexed independently, for every state they could be entered in.
-CHUNK_LINES = 4000
+CHUNK_LINES = 200
 
 
 def language(file_path: Column) -> Column:
     """java, py, js or json by the suffix of a path; null for others."""
     suffix = F.lower(F.regexp_extract(file_path, r"\.([A-Za-z]+)$", 1))
-    return F.when(suffix.isin(*grammars.VALID), suffix)
+    return F.when(suffix.isin(*grammars.PARSES), suffix)
 
 
 def judged_files(files: DataFrame) -> DataFrame:
@@ -29,14 +27,14 @@ def judged_files(files: DataFrame) -> DataFrame:
     ).where("file_id is not null and language is not null and raw_source is not null")
 
 
-def unbalanced(judged: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
-    """(file_id): Java and JavaScript files whose literals, comments or brackets are not closed.
+def state_maps(judged: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """(file_id, language, version, no, entries): the lexer-state map of every chunk.
 
-    Each chunk becomes a map from entry state to (exit state, unmatched brackets).  Only these summaries are shuffled;
-    they are joined in chunk order, which is associative.
+    An entry tells, for a state in which the chunk may be entered, the state it ends in, the brackets it leaves
+    unmatched, and the classes of its tokens.  A line that goes on behind a backslash stays with the next one.
     """
-    lines = F.split("raw_source", "\n")
-    chunks = judged.where(F.col("language").isin("java", "js")).select(
+    lines = F.split("raw_source", r"(?<!\\)(?<!\\\r)\n")
+    chunks = judged.select(
         "file_id", "language", F.xxhash64("raw_source").alias("version"),
         F.posexplode(F.transform(
             F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / chunk_lines).cast("int")),
@@ -44,53 +42,40 @@ def unbalanced(judged: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            maps = [lexing.state_map(kind, chunk + "\n", no == 0)
-                    for kind, no, chunk in zip(pdf["language"], pdf["no"], pdf["chunk"])]
+            maps = [lexing.state_map(kind, chunk, no == 0) for kind, no, chunk in zip(pdf["language"], pdf["no"], pdf["chunk"])]
             yield pd.DataFrame({
-                "file_id": pdf["file_id"], "version": pdf["version"], "no": pdf["no"],
-                "entries": [[{"entry": k, "state": s.state, "closed": s.closed, "opened": s.opened} for k, s in m.items()]
-                            for m in maps]})
+                "file_id": pdf["file_id"], "language": pdf["language"], "version": pdf["version"], "no": pdf["no"],
+                "entries": [[{"entry": k, **s._asdict()} for k, s in m.items()] for m in maps]})
 
-    maps = chunks.mapInPandas(
-        mapped, "file_id bigint, version bigint, no int,"
-                " entries array<struct<entry:string,state:string,closed:string,opened:string>>")
-    listed = maps.groupBy("file_id", "version").agg(F.array_sort(F.collect_list(F.struct("no", "entries"))).alias("maps"))
+    return chunks.mapInPandas(
+        mapped, "file_id bigint, language string, version bigint, no int,"
+                " entries array<struct<entry:string,state:string,closed:string,opened:string,stream:string>>")
 
-    @F.pandas_udf("boolean")
-    def closed(maps: pd.Series) -> pd.Series:
-        out = []
-        for chunks in maps:
-            whole = lexing.Summary(lexing.CODE, "", "")
-            for c in chunks:
-                whole = lexing.joined(whole, {e["entry"]: lexing.Summary(e["state"], e["closed"], e["opened"])
-                                              for e in c["entries"]})
-            out.append(whole == lexing.Summary(lexing.CODE, "", ""))
-        return pd.Series(out)
-
-    return listed.where(~closed("maps")).select("file_id").distinct()
-
-
-def ungrammatical(judged: DataFrame) -> DataFrame:
-    """(file_id): files with a statement or a bracket group that its local grammar refuses."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        warnings.simplefilter("ignore")
-        for pdf in batches:
-            bad = [not grammars.VALID[kind](text[1:] if text[:1] == "﻿" and kind in ("py", "js") else text)
-                   for kind, text in zip(pdf["language"], pdf["raw_source"])]
-            yield pdf.loc[np.array(bad, bool), ["file_id"]]
 
-    return judged.select("file_id", "language", "raw_source").mapInPandas(run, "file_id bigint").distinct()
-
-
-def invalid_files(files: DataFrame) -> DataFrame:
+def invalid_files(files: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
     """(file_id): files that aren't syntactically valid in the language of their suffix.
 
+    Each chunk becomes a state map in one pass over its text; only these are shuffled.  A file's maps are joined in chunk
+    order, which is associative; what is not closed then, or closed by another bracket, is invalid, and the statements
+    of the joined stream are parsed by local grammars.  No text is read twice.
+
     ``parse_errors`` is not consulted.  Null sources, null ids and other suffixes are not judged; an empty Java, Python
     or JavaScript file is valid and an empty JSON file is not.  An id delivered more than once comes out once.
     """
-    judged = judged_files(files)
-    return unbalanced(judged).unionByName(ungrammatical(judged)).distinct()
+    listed = state_maps(judged_files(files), chunk_lines).groupBy("file_id", "language", "version").agg(
+        F.array_sort(F.collect_list(F.struct("no", "entries"))).alias("maps"))
+
+    @F.pandas_udf("boolean")
+    def parses(language: pd.Series, maps: pd.Series) -> pd.Series:
+        out = []
+        for kind, chunks in zip(language, maps):
+            whole = lexing.Summary(lexing.CODE, "", "", "")
+            for c in chunks:
+                whole = lexing.joined(whole, {e["entry"]: lexing.Summary(e["state"], e["closed"], e["opened"], e["stream"]) for e in c["entries"]})
+            out.append(whole[:3] == (lexing.CODE, "", "") and grammars.PARSES[kind](whole.stream))
+        return pd.Series(out, dtype=bool)
+
+    return listed.where(~parses("language", "maps")).select("file_id").distinct()
 
 
 def rates(files: DataFrame, invalid: DataFrame) -> DataFrame:

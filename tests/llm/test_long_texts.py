@@ -14,8 +14,8 @@ def test_long_texts_take_time_in_proportion():
     list(islands.functions("a.py", "def f(a):\n    return a\n" * 2_000))
     secrets.candidates("password = '" + "a1" * 100_000 + "';\n" + LONG)
     assert secrets.residual("Zq1" * 50_000, {"zq": 3.0}, 2) == 50_000
-    assert grammars.java_valid("class A { void f() { " + "x(1, \"a\");\n" * 20_000 + "} }")
-    assert grammars.js_valid("f(function() { return [1, {a: 2}]; });\n" * 10_000)
+    assert grammars.valid("java", "class A { void f() { " + "x(1, \"a\");\n" * 20_000 + "} }")
+    assert grammars.valid("js", "f(function() { return [1, {a: 2}]; });\n" * 10_000)
     lexing.state_map("js", "x = `a`;\n" * 20_000, False)
     assert time.time() - began < 90
 
