@@ -63,7 +63,7 @@ def invalid_files(files: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame
     or JavaScript file is valid and an empty JSON file is not.  An id delivered more than once comes out once.
     """
     listed = state_maps(judged_files(files), chunk_lines).groupBy("file_id", "language", "version").agg(
-        F.array_sort(F.collect_list(F.struct("no", "entries"))).alias("maps"))
+        F.array_sort(F.collect_set(F.struct("no", "entries"))).alias("maps"))  # repeated rows are equal
 
     @F.pandas_udf("boolean")
     def parses(language: pd.Series, maps: pd.Series) -> pd.Series:

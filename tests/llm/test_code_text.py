@@ -173,7 +173,7 @@ def test_every_place_of_every_delivery_is_blanked(spark):
 
 
 def test_invalid_files(spark):
-    rows = [(1, "p", "A.java", "class A { }"), (2, "p", "B.java", "class B {"), (2, "p", "B.java", "class B {"), (3, "p", "c.py", "def f(:\n"), (4, "p", "d.json", "{}"),
+    rows = [(1, "p", "A.java", "package a; class A { }"), (1, "p", "A.java", "package a; class A { }"), (2, "p", "B.java", "class B {"), (2, "p", "B.java", "class B {"), (3, "p", "c.py", "def f(:\n"), (4, "p", "d.json", "{}"),
             (5, "p", "e.yml", "{"), (6, "p", "F.java", None), (None, "p", "G.java", "x"), (7, "q", "h.js", "f(" * 3), (8, "q", "I.JAVA", "class I { " + "int a; " * 30000 + "}"), (9, None, None, "x")]
     df = spark.createDataFrame([(*r, ["Syntax error"], "z") for r in rows], "file_id long, project string, file_path string, raw_source string, parse_errors array<string>, no string")
     bad = parsing.invalid_files(df)
