@@ -1,14 +1,16 @@
 """Files that nobody wrote by hand: generated, minified, vendored, or data saved as code (Re-Pair grammars).
 
-Re-Pair replaces digrams by rules.  Here every round replaces all digrams that are locally best, so a few rounds make
-the grammar of many files at once.  Two grammars are inferred:
-
-- over token classes, with the digram's count in its file as priority: the share of a file that its own rules explain
-  is its rule reuse, and generated files reuse theirs most;
-- over tokens, with a hash of the digram as priority: equal stretches get equal rules in whatever file they stand, so a
-  rule is known by its hash, and rules shared across projects show vendored copies.
-
-Literals that no rule shortens and that make up most of a file show data.
+Re-Pair replaces the most frequent digram by a rule, again and again.  Here every round replaces all digrams that are
+more frequent than their neighbours in the same file, so a few rounds make the grammars of many files at once.  Ties go by a
+hash of the digram's own symbols, and a rule is known by the hash of what it replaces: a file's grammar depends on that
+file only, and equal stretches get equal rules in whatever repository they stand.
+
+- Over token classes, the size of the grammar over the number of tokens is a file's rule reuse: generated files reuse
+  theirs most.
+- Over tokens, literals that no rule takes up are not compressible; long ones are, if the grammar of their characters is
+  smaller than that of the same characters shuffled.  Incompressible literals in bulk are data.
+- Rules over tokens go on to pair what stands only once in its file, as it may stand in other repositories: rules
+  shared across projects show vendored copies.
 """
 
 from __future__ import annotations
@@ -24,15 +26,17 @@ from pyspark.sql import functions as F
 from codeloom.tables import written
 
 #: Tokens of one numpy pass over many files; a longer file is a pass of its own.
-PASS = 200_000
-#: A rule's expansion stops growing at so many tokens; rules of at least PHRASE_LEAST count as shared stretches.
+PASS = 30_000
+#: A rule that is compared across projects stops growing at so many tokens; those of at least PHRASE_LEAST count.
 PHRASE_MOST = 40
 PHRASE_LEAST = 12
-ROUNDS = 64
+#: Buckets in which digrams are counted roughly before they are counted exactly.
+BUCKET_BITS = 18
 
 #: Thresholds of the kinds (see :func:`kind`).
 MINIFIED_BLANKS = 0.08
-DATA_SHARE, DATA_CHARS, DATA_NEW, DATA_TOKENS, DATA_FRAME = 0.5, 600, 0.4, 0.3, 40
+DATA_SHARE, DATA_CHARS, DATA_TOKENS, DATA_FRAME = 0.5, 600, 0.3, 40
+LONG_LITERAL, SHUFFLED_SHARE = 60, 0.97
 GENERATED_REUSE, GENERATED_TOLD, GENERATED_TOKENS = 0.38, 0.48, 80
 VENDORED_SHARE = 0.6
 
@@ -46,10 +50,9 @@ _WORDS = frozenset(
     " case new import package this self def function const let var try catch except raise throw extends implements".split())
 _TOLD = re.compile(
     r"(?i)@generated|\bauto-?\s?generated|\bgenerated (?:from|by|automatically|code|file|with)|produced automatically|was produced by"
-    r"|changes will be lost|local edits get lost|\bregenerate|built by \w+|is built by|edit the schema|do not (?:edit|modify)\b(?! balances)")
+    r"|changes will be lost|local edits get lost|\bregenerate|built by \w+|is built by|edit the schema"
+    r"|do not (?:edit|modify)(?: (?:this|the) (?:file|class|code|module)\b| (?:it )?(?:by hand|manually)\b|\W*$|\W*[.!;:,*\n])")
 _LIBRARY_PATH = r"(?:^|/)(?:third[_-]?party|vendor(?:ed)?|node_modules|libs?/external|external|bower_components)/(?:[^/]+/)*[\w.]+[-@]\d+\.\d+"
-_BANNER = (r"(?is)^\s*(?:/\*|//|#)(?=[^\n]*(?:\n[^\n]*){0,5}?\d+\.\d+)"
-           r"(?=[^\n]*(?:\n[^\n]*){0,5}?(?:@licen[cs]e|free licen[cs]e|licen[cs]ed under|copyright|\(c\)|redistribution|released under))")
 
 #: What may stand before the first declaration: comments and annotations, which are kept, and imports.
 _HEAD = {
@@ -113,52 +116,79 @@ def _replaced(chosen: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [c[keep] for c in columns]
 
 
-def rule_reuse(classes: np.ndarray, owner: np.ndarray, files: int) -> np.ndarray:
-    """Size of each file's grammar, sequence and rules, over its number of tokens. Rules are used three times at least."""
-    tokens = np.bincount(owner, minlength=files)
-    rules = np.zeros(files)
-    s = classes
-    for _ in range(ROUNDS):
-        if len(s) < 2:
-            break
-        digram = _mix(_mix(s[:-1], s[1:]), owner[:-1].astype(np.uint64))
-        _, back, count = np.unique(digram, return_inverse=True, return_counts=True)
-        n = count[back]
-        allowed = (owner[:-1] == owner[1:]) & (n >= 3)
-        chosen = _chosen((n.astype(np.uint64) << np.uint64(40)) | (digram >> np.uint64(24)), allowed)
-        if not chosen.any():
+def _counted(key: np.ndarray, allowed: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, group, count) of the allowed positions whose key stands at ``least`` times or more."""
+    at = np.flatnonzero(allowed)
+    rough = (key[at] >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    at = at[np.bincount(rough, minlength=1 << BUCKET_BITS)[rough] >= least]
+    _, group, count = np.unique(key[at], return_inverse=True, return_counts=True)
+    kept = count[group] >= least
+    return at[kept], group[kept], count[group[kept]]
+
+
+def grammar(symbols: np.ndarray, owner: np.ndarray, files: int, least: int, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, size, owner, rules): what is left of each file when no digram stands ``least`` times in it any more.
+
+    ``size`` is the number of tokens a symbol stands for, ``rules`` the number of rules of each file; no rule grows beyond
+    ``most`` tokens.  Each round makes the sequence shorter, so it ends.
+    """
+    s, size, rules = symbols, np.ones(len(symbols), np.int64), np.zeros(files, np.int64)
+    while len(s) > 1:
+        digram = _mix(s[:-1], s[1:] + np.uint64(1))
+        allowed = owner[:-1] == owner[1:]
+        if most:
+            allowed &= size[:-1] + size[1:] <= most
+        at, group, count = _counted(_mix(digram, owner[:-1].astype(np.uint64)), allowed, least)
+        if not len(at):
             break
+        priority = np.zeros(len(digram), np.uint64)
+        priority[at] = (count.astype(np.uint64) << np.uint64(40)) | (digram[at] >> np.uint64(24))
+        allowed = np.zeros(len(digram), bool)
+        allowed[at] = True
+        chosen = _chosen(priority, allowed)
         # A digram that lost most of its places to a better one makes no rule.
-        used = np.bincount(back[chosen], minlength=len(count))
-        chosen &= used[back] >= 2
-        if not chosen.any():
-            break
-        first = np.unique(back[chosen], return_index=True)[1]
-        rules += np.bincount(owner[:-1][chosen][first], minlength=files)
-        s = np.concatenate([np.where(chosen, _mix(s[:-1], s[1:]), s[:-1]), s[-1:]])
-        s, owner = _replaced(chosen, s, owner)
-    left = np.bincount(owner, minlength=files)
-    return (left + 2 * rules) / np.maximum(tokens, 1)
-
-
-def phrases(symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, rule, tokens of its expansion): the rules that make up each file when no rule can grow any more."""
-    s, size = symbols, np.ones(len(symbols), np.int64)
-    for _ in range(ROUNDS):
-        if len(s) < 2:
+        picked = chosen[at]
+        picked &= np.bincount(group[picked], minlength=int(group.max()) + 1)[group] >= 2
+        chosen[at] = picked
+        if not picked.any():
             break
-        allowed = (owner[:-1] == owner[1:]) & (size[:-1] + size[1:] <= PHRASE_MOST)
-        chosen = _chosen(_mix(s[:-1], s[1:]), allowed)
+        first = np.unique(group[picked], return_index=True)[1]
+        rules += np.bincount(owner[at[picked][first]], minlength=files)
+        s = np.concatenate([np.where(chosen, digram, s[:-1]), s[-1:]])
+        size = np.concatenate([np.where(chosen, size[:-1] + size[1:], size[:-1]), size[-1:]])
+        s, size, owner = _replaced(chosen, s, size, owner)
+    return s, size, owner, rules
+
+
+def paired(s: np.ndarray, size: np.ndarray, owner: np.ndarray, most: int = PHRASE_MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, size, owner) when digrams that stand once in their file are rules too, up to ``most`` tokens."""
+    while len(s) > 1:
+        digram = _mix(s[:-1], s[1:] + np.uint64(1))
+        chosen = _chosen(digram, (owner[:-1] == owner[1:]) & (size[:-1] + size[1:] <= most))
         if not chosen.any():
             break
-        s = np.concatenate([np.where(chosen, _mix(s[:-1], s[1:] + np.uint64(1)), s[:-1]), s[-1:]])
+        s = np.concatenate([np.where(chosen, digram, s[:-1]), s[-1:]])
         size = np.concatenate([np.where(chosen, size[:-1] + size[1:], size[:-1]), size[-1:]])
         s, size, owner = _replaced(chosen, s, size, owner)
-    return owner, s, size
+    return s, size, owner
+
+
+def incompressible(text: str) -> bool:
+    """Whether the grammar of a text's characters is hardly smaller than that of the same characters in a random order."""
+    if not text:
+        return False
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    alone = np.zeros(len(chars), np.int64)
+
+    def cost(sequence: np.ndarray) -> int:
+        left, _, _, rules = grammar(sequence, alone, 1, 3)
+        return len(left) + 2 * int(rules[0])
+
+    return cost(chars) >= SHUFFLED_SHARE * cost(np.random.default_rng(0).permutation(chars))
 
 
 class _Symbols(dict):
-    """Symbol, class and literal length of each token text; remembered up to a bound."""
+    """Symbol, class and literal length (0 for others) of each token text; remembered up to a bound."""
 
     def __missing__(self, token: str) -> tuple[int, int, int]:
         import xxhash
@@ -169,112 +199,116 @@ class _Symbols(dict):
         literal = c in "\"'`" or c.isdigit()
         h = xxhash.xxh64_intdigest(token)
         kind = 1 if literal else 2 if (c.isalpha() or c in "_$") and token not in _WORDS else h
-        running_text = len(token) > 60 and token.count(" ") * 12 > len(token)
-        self[token] = out = (h, kind, 1 if literal and running_text else len(token) if literal else 0)
+        self[token] = out = (h, kind, len(token) if literal else 0)
         return out
 
 
+def _features(texts: list[tuple[str, str]], known: _Symbols) -> tuple[dict[str, list], list[list[dict]]]:
+    """Columns of features of (suffix, source), and each file's rules for comparison, in one pass."""
+    files, found = len(texts), []
+    for suffix, text in texts:
+        found.append([t for t in _TOKEN["py" if suffix == "py" else "c"].findall(text) if t[0] != "#" and t[:2] not in ("//", "/*")])
+    each = [[known[t] for t in f] for f in found]
+    owner = np.repeat(np.arange(files), [len(f) for f in found])
+    symbols, classes, length = (np.array([e[k] for es in each for e in es], np.uint64) for k in (0, 1, 2))
+    left, _, of, rules = grammar(classes, owner, files, 3)
+    tokens = np.bincount(owner, minlength=files)
+    reuse = (np.bincount(of, minlength=files) + 2 * rules) / np.maximum(tokens, 1)
+    s, size, of, _ = grammar(symbols, owner, files, 2, PHRASE_MOST)
+    # Literals that no rule takes up.
+    bare = length[(np.cumsum(size) - size)[size == 1]].astype(np.int64)
+    short = np.where(bare > LONG_LITERAL, 0, bare)
+    dense = np.bincount(of[size == 1], weights=short, minlength=files).astype(np.int64)
+    in_literals = np.bincount(owner, weights=length, minlength=files).astype(np.int64)
+    literals = np.bincount(owner, weights=length > 0, minlength=files).astype(np.int64)
+    in_tokens = [sum(map(len, f)) for f in found]
+    for k in np.flatnonzero((in_literals >= DATA_SHARE * np.array(in_tokens)) & (in_literals >= DATA_CHARS)):
+        long = "".join(t[1:-1] for t, e in zip(found[k], each[k]) if e[2] > LONG_LITERAL)
+        dense[k] += len(long) * incompressible(long)
+    s, size, of = paired(s, size, of)
+    cuts = np.searchsorted(of, np.arange(files + 1))
+    phrases = [[{"rule": r, "size": z} for r, z in zip(s[a:b].astype(np.int64).tolist(), size[a:b].tolist()) if z >= PHRASE_LEAST] for a, b in zip(cuts, cuts[1:])]
+    heads = [head_comments(text, suffix) for suffix, text in texts]
+    return {
+        "tokens": tokens, "literals": literals, "token_chars": in_tokens, "dense_chars": dense, "reuse": reuse,
+        "blanks": [sum(map(text.count, " \n\t\r")) / max(1, len(text)) for _, text in texts],
+        "told": [any(map(_TOLD.search, h)) for h in heads], "markup": [text.lstrip()[:1] in ("<", "{") for _, text in texts],
+        "banner": [bool(h) and text.lstrip().startswith(h[0][:2]) and is_banner(h[0]) for h, (_, text) in zip(heads, texts)]}, phrases
+
+
 def described(files: DataFrame) -> DataFrame:
-    """(file_id, project, suffix, reuse, phrases, blanks, ...): what the grammars say of each code file.
+    """(file_id, project, suffix, features, phrases): what the grammars say of each code file.
 
     ``phrases`` lists (rule, tokens).  Null ids and sources and files without a code suffix are left out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Symbols()
-
-        def flush(rows: list, hashes: list, kinds: list) -> pd.DataFrame:
-            sizes = [len(h) for h in hashes]
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            symbols = np.array([x for h in hashes for x in h], np.uint64)
-            classes = np.array([x for k in kinds for x in k], np.uint64)
-            reuse = rule_reuse(classes, owner, len(rows))
-            who, rule, size = phrases(symbols, owner)
-            cuts = np.searchsorted(who, np.arange(len(rows) + 1))
-            out = pd.DataFrame(rows, columns=["file_id", "project", "suffix", "tokens", "blanks", "literal_chars", "token_chars", "literals",
-                                              "new_literals", "told", "markup", "banner"])
-            out["reuse"] = reuse
-            out["phrases"] = [[{"rule": r, "size": z} for r, z in zip(rule[a:b].astype(np.int64).tolist(), size[a:b].tolist())]
-                              for a, b in zip(cuts, cuts[1:])]
-            return out
-
         for pdf in batches:
-            rows, hashes, kinds, total = [], [], [], 0
-            for i, project, suffix, text in zip(pdf["file_id"], pdf["project"], pdf["suffix"], pdf["raw_source"]):
-                found = [t for t in _TOKEN["py" if suffix == "py" else "c"].findall(text)
-                         if t[0] != "#" and t[:2] not in ("//", "/*")]
-                if rows and total + len(found) > PASS:
-                    yield flush(rows, hashes, kinds)
-                    rows, hashes, kinds, total = [], [], [], 0
-                total += len(found)
-                each = [known[t] for t in found]
-                literals = [t for t, e in zip(found, each) if e[2]]
-                head = head_comments(text, suffix)
-                rows.append((i, project, suffix, len(found), sum(map(text.count, " \n\t\r")) / max(1, len(text)),
-                             sum(e[2] for e in each), sum(map(len, found)), len(literals), len(set(literals)),
-                             bool(_TOLD.search(text[:600]) or any(map(_TOLD.search, head))), text.lstrip()[:1] in ("<", "{"),
-                             bool(head) and text.lstrip().startswith(head[0][:2]) and is_banner(head[0])))
-                hashes.append([e[0] for e in each])
-                kinds.append([e[1] for e in each])
-            if rows:
-                yield flush(rows, hashes, kinds)
+            lo, sizes = 0, [len(t) // 3 for t in pdf["raw_source"]]
+            while lo < len(pdf):
+                hi, total = lo + 1, sizes[lo]
+                while hi < len(pdf) and total + sizes[hi] <= PASS:
+                    total += sizes[hi]
+                    hi += 1
+                part = pdf.iloc[lo:hi]
+                features, phrases = _features(list(zip(part["suffix"], part["raw_source"])), known)
+                yield part[["file_id", "project", "suffix", "in_library"]].assign(**features, phrases=phrases)
+                lo = hi
 
     suffix = F.lower(F.regexp_extract("file_path", r"\.([A-Za-z]+)$", 1))
-    code = files.select("file_id", "project", suffix.alias("suffix"), "raw_source").where(
-        F.col("file_id").isNotNull() & F.col("raw_source").isNotNull() & F.col("suffix").isin("java", "js", "py"))
+    code = files.select("file_id", "project", suffix.alias("suffix"), F.coalesce(F.col("file_path").rlike(_LIBRARY_PATH), F.lit(False)).alias("in_library"),
+                        "raw_source").where(F.col("file_id").isNotNull() & F.col("raw_source").isNotNull() & F.col("suffix").isin("java", "js", "py"))
     return code.mapInPandas(
-        run, "file_id bigint, project string, suffix string, tokens bigint, blanks double, literal_chars bigint, token_chars bigint,"
-             " literals bigint, new_literals bigint, told boolean, markup boolean, banner boolean, reuse double, phrases array<struct<rule:bigint,size:bigint>>")
+        run, "file_id bigint, project string, suffix string, in_library boolean, tokens bigint, literals bigint, token_chars bigint, dense_chars bigint,"
+             " reuse double, blanks double, told boolean, markup boolean, banner boolean, phrases array<struct<rule:bigint,size:bigint>>")
 
 
-def kind(shared: Column, library: Column) -> Column:
+def kind(shared: Column, notices: bool = True) -> Column:
     """The kind of a described file, or null for hand-written source.
 
-    minified: a script with hardly any blanks.  data: literals in bulk, most of them new and no running text, with little
-    code around them.  generated: a small grammar, or a rather small one in a file that says so at its top; markup and
-    JSON saved under a code suffix repeat themselves too and are none.  vendored: mostly rules that other projects have
-    too, or a library's own banner or versioned folder.
+    minified: a script with hardly any blanks.  data: incompressible literals in bulk with little code around them.
+    generated: a small grammar; markup and JSON saved under a code suffix repeat themselves too and are none.  vendored:
+    mostly rules that other projects have too.  With ``notices``, a rather small grammar is enough in a file whose head says
+    that it was generated, and so is a library's own banner or versioned folder.
     """
-    data = ((F.col("literal_chars") >= DATA_SHARE * F.col("token_chars")) & (F.col("literal_chars") >= DATA_CHARS)
-            & (F.col("new_literals") >= DATA_NEW * F.col("literals"))
+    data = ((F.col("dense_chars") >= DATA_SHARE * F.col("token_chars")) & (F.col("dense_chars") >= DATA_CHARS)
             & ((F.col("literals") >= DATA_TOKENS * F.col("tokens")) | (F.col("tokens") - F.col("literals") <= DATA_FRAME)))
-    generated = (F.col("tokens") >= GENERATED_TOKENS) & ~F.col("markup") & (
-        (F.col("reuse") < GENERATED_REUSE) | (F.col("told") & (F.col("reuse") < GENERATED_TOLD)))
+    small, library = F.col("reuse") < GENERATED_REUSE, shared >= VENDORED_SHARE
+    if notices:
+        small = small | F.col("told") & (F.col("reuse") < GENERATED_TOLD)
+        library = library | F.col("in_library") | F.col("banner")
     return (
         F.when((F.col("suffix") == "js") & (F.col("blanks") < MINIFIED_BLANKS) & (F.col("tokens") >= 50), "minified")
-        .when(data, "data").when(generated, "generated").when((shared >= VENDORED_SHARE) | library, "vendored"))
+        .when(data, "data").when((F.col("tokens") >= GENERATED_TOKENS) & ~F.col("markup") & small, "generated").when(library, "vendored"))
 
 
 def judged(files: DataFrame) -> DataFrame:
-    """(file_id, project, reuse, shared, kind) of every code file; ``shared`` is the share of its tokens in rules that
-    other projects have too.
+    """(file_id, project, reuse, shared, kind, by_notice) of every code file; ``shared`` is the share of its tokens in rules
+    that other projects have too, ``by_notice`` tells that the grammars alone would give another kind.
 
     An id that was delivered more than once comes out once; differing deliveries give the first kind by name.  Rules
     are counted per file before they are shuffled, and only their least and greatest project is kept, so a rule that
     stands in a third of all files is one small record.
     """
     table = written(described(files), "grammars")
-    rules = table.select("file_id", "project", F.explode("phrases").alias("p")).select(
-        "file_id", "project", "p.rule", "p.size").where(F.col("size") >= PHRASE_LEAST)
+    rules = table.select("file_id", "project", F.explode("phrases").alias("p")).select("file_id", "project", "p.rule", "p.size")
     places = rules.groupBy("file_id", "project", "rule").agg(F.sum("size").alias("size"))
     common = places.groupBy("rule").agg(F.min("project").alias("_lo"), F.max("project").alias("_hi")).where("_lo <> _hi")
     copied = places.join(common.select("rule"), "rule", "left_semi").groupBy("file_id").agg(F.sum("size").alias("copied"))
     own = places.groupBy("file_id").agg(F.sum("size").alias("sized")).join(copied, "file_id", "left").select(
         "file_id", (F.coalesce("copied", F.lit(0)) / F.col("sized")).alias("shared"))
-    hints = files.where("file_id is not null").select("file_id", (
-        F.coalesce(F.col("file_path").rlike(_LIBRARY_PATH), F.lit(False))
-        | F.coalesce(F.substring("raw_source", 1, 600).rlike(_BANNER), F.lit(False))).alias("library")).groupBy("file_id").agg(
-        F.max("library").alias("library"))
-    joined = table.drop("phrases").join(own, "file_id", "left").join(hints, "file_id", "left")
     shared = F.coalesce("shared", F.lit(0.0))
-    return joined.select("file_id", "project", "reuse", shared.alias("shared"), kind(shared, F.col("library") | F.col("banner")).alias("kind")).groupBy(
+    return table.drop("phrases").join(own, "file_id", "left").select(
+        "file_id", "project", "reuse", shared.alias("shared"), kind(shared).alias("kind"), (~kind(shared).eqNullSafe(kind(shared, False))).alias("by_notice")).groupBy(
         "file_id").agg(F.min("project").alias("project"), F.min("reuse").alias("reuse"), F.max("shared").alias("shared"),
-                       F.min("kind").alias("kind"))
+                       F.min("kind").alias("kind"), F.min_by("by_notice", F.coalesce("kind", F.lit("~"))).alias("by_notice"))
 
 
 def report(judgements: DataFrame) -> DataFrame:
-    """(project, files, generated, minified, vendored, data, by_hand) per project."""
+    """(project, files, generated, minified, vendored, data, by_hand, by_notice) per project; ``by_notice`` counts files that a
+    notice, a banner or a folder put there and the grammars alone would not."""
     return judgements.groupBy("project").agg(
         F.count(F.lit(1)).alias("files"),
         *[F.count_if(F.col("kind") == k).alias(k) for k in ("generated", "minified", "vendored", "data")],
-        F.count_if(F.col("kind").isNull()).alias("by_hand"))
+        F.count_if(F.col("kind").isNull()).alias("by_hand"), F.count_if("by_notice").alias("by_notice"))

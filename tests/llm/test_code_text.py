@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from codeloom.llm import defects, docpairs, islands, origin, parsing, secrets
 
 JAVA = "/** Doc */\n  @Override\n  public int sum(int a) {\n    // keep\n    int b = a + 1;\n    return b * 2;\n  }"
@@ -209,6 +211,31 @@ def test_origin(spark):
     assert sum(r.by_hand for r in origin.report(origin.judged(df)).collect()) >= 30
 
 
+def test_grammars_do_not_depend_on_the_pass(spark):
+    """Each file's measures are its own, whatever files and partitions it comes with."""
+    texts = [("java", hand(i)) for i in range(12)] + [("js", "var a=1;" * 40), ("py", ""), ("java", hand(3))]
+    alone = [origin._features([t], origin._Symbols()) for t in texts]
+    features, phrases = origin._features(texts, origin._Symbols())
+    turned, _ = origin._features(texts[::-1], origin._Symbols())
+    for name, column in features.items():
+        assert list(column) == [a[0][name][0] for a in alone] == list(turned[name])[::-1], name
+    assert phrases == [a[1][0] for a in alone]
+    df = spark.createDataFrame([(i, f"p{i}", f"a.{k}", t) for i, (k, t) in enumerate(texts)], "file_id long, project string, file_path string, raw_source string")
+    assert {tuple(r) for r in origin.judged(df.repartition(7)).collect()} == {tuple(r) for r in origin.judged(df.coalesce(1)).collect()}
+
+
+def test_literals_are_measured_by_their_grammar():
+    r = random.Random(3)
+    noise = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=3000))
+    prose = " ".join(r.choices("the ledger keeps every open account until a clerk closes it by hand and tells the desk".split(), k=500))
+    assert origin.incompressible(noise) and not origin.incompressible(prose) and not origin.incompressible("") and not origin.incompressible("ab" * 400)
+    # Re-Pair: abab abab is one rule of a rule; its size is the sequence and two symbols for each rule.
+    s, size, _, rules = origin.grammar(np.array([1, 2, 1, 2, 1, 2, 1, 2], np.uint64), np.zeros(8, np.int64), 1, 2)
+    assert (len(s), size.tolist(), rules.tolist()) == (1, [8], [3]) or (len(s), rules.tolist()) == (2, [2])
+    told = "Do not edit balances by hand; this class makes the vouchers."
+    assert not origin._TOLD.search(told) and origin._TOLD.search("// DO NOT EDIT") and origin._TOLD.search("Do not modify this file.")
+
+
 def test_notices_behind_long_heads():
     licence = "/*\n" + " * Licensed to the authors under one or more agreements, see the notice file.\n" * 20 + " * http://www.apache.org/licenses/LICENSE-2.0\n */\n"
     java = licence + "package a;\n" + "".join(f"import a.b.C{i};\n" for i in range(60)) + "/** Generated by a tool, do not edit. */\npublic class A { /* inner */ }"
