@@ -37,6 +37,37 @@ def p6_keys(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: (table, its reference, its time, the parents' table) of integer references.
+_TIMED = (("classes", "file_id", "scanned_at", "files"), ("methods", "class_id", "scanned_at", "classes"), ("conversions", "method_id", "converted_at", "methods"))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Integer references per table: all of them, and those whose record is not there at the time of the reference."""
+    parts = []
+    for ref_table, key, at, parent in _TIMED:
+        held = table(spark, d, parent, key, "scanned_at", *([] if parent == "files" else ["deleted_at"]))
+        refs = table(spark, d, ref_table, key, at)
+        found = O.orphan_ids(refs, key, at, held, key).agg(*[
+            F.coalesce(F.sum(F.when(F.col("reason") == r, F.col("ref_rows"))), F.lit(0)).alias(r) for r in ("missing", "late", "deleted")])
+        judged = refs.where(F.col(key).isNotNull() & F.col(at).isNotNull()).agg(F.count(F.lit(1)).alias("ref_rows"), F.countDistinct(key).alias("ids"))
+        parts.append(judged.join(found).select(F.lit(ref_table).alias("ref_table"), F.lit(parent).alias("parent_table"), "ids", "ref_rows", "missing", "late", "deleted"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _ids_sql() -> str:
+    parts = []
+    for ref_table, key, at, parent in _TIMED:
+        alive = f"p.scanned_at <= r.{at}" + ("" if parent == "files" else f" AND (p.deleted_at IS NULL OR p.deleted_at > r.{at})")
+        reasons = ", ".join(f"CAST(coalesce(sum(n) FILTER (reason = '{r}'), 0) AS BIGINT) AS {r}" for r in ("missing", "late", "deleted"))
+        parts.append(f"""
+SELECT '{ref_table}' AS ref_table, '{parent}' AS parent_table, count(DISTINCT {key}) AS ids, CAST(sum(n) AS BIGINT) AS ref_rows, {reasons} FROM (
+  SELECT r.{key}, r.{at}, r.n, CASE WHEN count(*) FILTER ({alive}) > 0 THEN 'held' WHEN count(p.{key}) = 0 THEN 'missing'
+         WHEN count(*) FILTER (p.scanned_at > r.{at}) > 0 THEN 'late' ELSE 'deleted' END AS reason
+  FROM (SELECT {key}, {at}, count(*) AS n FROM {ref_table} WHERE {key} IS NOT NULL AND {at} IS NOT NULL GROUP BY ALL) r LEFT JOIN {parent} p ON p.{key} = r.{key}
+  GROUP BY r.{key}, r.{at}, r.n)""")
+    return " UNION ALL ".join(parts)
+
+
 _ORPHANS = r"""
 WITH m AS (SELECT DISTINCT ON (method_id) * FROM methods ORDER BY method_id, scanned_at),
      e AS (SELECT DISTINCT ON (edge_id) * FROM edges ORDER BY edge_id, scanned_at),
@@ -75,7 +106,7 @@ WITH m AS (SELECT DISTINCT ON (method_id) * FROM methods ORDER BY method_id, sca
 
 
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_report": p6_report, "p6_keys": p6_keys}
+    return {"p6_found": p6_found, "p6_report": p6_report, "p6_keys": p6_keys, "p6_ids": p6_ids}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -83,6 +114,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": _ORPHANS + "SELECT ref_table, ref_id, target, reason FROM orphans",
         "p6_report": _ORPHANS + "SELECT ref_table, strftime(scanned_at, '%Y-%m') AS month, reason, count(*) AS orphans"
                                 " FROM orphans GROUP BY ALL",
+        "p6_ids": _ids_sql(),
         "p6_keys": """
 SELECT 'classes' AS ref_table, 'files' AS parent_table, file_id AS key, count(*) AS ref_rows FROM classes
  WHERE file_id IS NOT NULL AND file_id NOT IN (SELECT file_id FROM files WHERE file_id IS NOT NULL) GROUP BY ALL

@@ -36,9 +36,19 @@ def test_reasons(spark):
 
 
 def test_runs_merge(spark):
-    rows = [("p", "class", "A", 0, 9), ("p", "class", "A", 10, 20), ("p", "class", "A", 30, 40), ("p", "class", "A", 35, 36), ("p", "class", "A", 50, 10)]
-    r = O.time_runs(spark.createDataFrame(rows, "project string, kind string, target string, from_us long, to_us long")).first()
-    assert [(x.from_us, x.to_us) for x in r.runs] == [(0, 20), (30, 40)] and r.last_seen == 50
+    rows = [("A", 0, 9), ("A", 10, 20), ("A", 30, 40), ("A", 35, 36), ("A", 50, 10), ("B", 5, O.FOREVER), ("B", 9, 12), (None, 1, 2), ("C", None, 2), ("A", 0, 3)]
+    df = spark.createDataFrame(rows, "target string, low long, high long")
+    got = {(r.target, r.run_start): (r.run_end, r.last_start) for r in O.key_runs(df, ["target"], "low", "high").collect()}
+    assert got == {("A", 0): (20, 10), ("A", 30): (40, 35), ("A", 50): (10, 50), ("B", 5): (O.FOREVER, 9)}
+
+
+def test_ids_at_a_time(spark):
+    parents = spark.createDataFrame([(1, day(1), day(3)), (1, day(6), None), (2, day(5), None), (None, day(1), None)], "id long, scanned_at timestamp_ntz, deleted_at timestamp_ntz")
+    refs = spark.createDataFrame([(1, day(2)), (1, day(4)), (1, day(4)), (1, day(7)), (2, day(1)), (3, day(1)), (None, day(1)), (3, None)], "fk long, seen timestamp_ntz")
+    got = {(r.key, r.reason): r.ref_rows for r in O.orphan_ids(refs, "fk", "seen", parents, "id").collect()}
+    assert got == {(1, "late"): 2, (2, "late"): 1, (3, "missing"): 1}
+    gone = O.orphan_ids(refs, "fk", "seen", parents.where("id = 1 and deleted_at is not null"), "id").collect()
+    assert ("deleted", 2) in {(r.reason, r.ref_rows) for r in gone}
 
 
 def test_empty_tables(spark):
@@ -54,4 +64,5 @@ def test_integer_keys(spark):
     for block in (7, 1 << 20):
         got = {r.key: r.ref_rows for r in O.orphan_keys(refs, "fk", parents, "id", block).collect()}
         assert got == {50: 1, 55: 2, 100: 1, -3: 1}
-    assert O.key_runs(parents, "id").count() == 2
+    whole = parents.selectExpr("id", "0 as block")
+    assert {(r.run_start, r.run_end) for r in O.key_runs(whole, ["block"], "id", "id").collect()} == {(1, 49), (60, 99)}
