@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -27,6 +27,8 @@ from codeloom.tables import written
 
 SPAN = 200
 ANCHOR = 100
+#: Documents of a set are paired in blocks of about this many.
+PAIR_BLOCK = 2000
 #: Code points that are hashed together in one numpy pass; a longer text is a pass of its own.
 PASS = 1 << 20
 
@@ -106,6 +108,16 @@ def cut(docs: DataFrame, doc_id: str, text: str, span: int, anchor: int) -> Data
     return long.mapInPandas(run, "bucket bigint, doc bigint, at bigint, len bigint")
 
 
+def packed_strings(text: str, places: str) -> Column:
+    """Each text's super-k-mers with their strings; a slice costs its own length only, however long the text."""
+    @F.pandas_udf("array<struct<bucket:bigint,at:bigint,len:bigint,packed:string>>")
+    def sliced(text: pd.Series, places: pd.Series) -> pd.Series:
+        return pd.Series([[{"bucket": p["bucket"], "at": p["at"], "len": p["len"], "packed": t[p["at"] - 1:p["at"] - 1 + p["len"]]} for p in each]
+                          for t, each in zip(text, places)])
+
+    return sliced(text, places)
+
+
 def _key(of: str) -> list:
     """128 bits that stand for a string in shuffles."""
     return [F.xxhash64(F.lit(1), F.col(of)), F.xxhash64(F.lit(2), F.col(of))]
@@ -126,9 +138,8 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     # The packed strings travel to their bucket.
     places = kept.groupBy("doc").agg(F.collect_list(F.struct("bucket", "at", "len")).alias("places"))
     source = rows.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    packed = source.join(places, "doc").select("doc", "text", F.explode("places").alias("p")).select(
-        F.col("p.bucket").alias("bucket"), "doc", F.col("p.at").alias("at"), F.col("p.len").alias("len"),
-        F.substring("text", F.col("p.at").cast("int"), F.col("p.len").cast("int")).alias("packed"))
+    packed = source.join(places, "doc").select("doc", F.explode(packed_strings("text", "places")).alias("p")).select(
+        F.col("p.bucket").alias("bucket"), "doc", F.col("p.at").alias("at"), F.col("p.len").alias("len"), F.col("p.packed").alias("packed"))
     k1, k2 = _key("packed")
     packed = packed.withColumns({"c1": k1, "c2": k2})
     classes = packed.groupBy("bucket", "c1", "c2").agg(
@@ -167,21 +178,46 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     return whole.unionByName(edges)
 
 
-def shared_pairs(spans: DataFrame) -> DataFrame:
+def _sets(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key1, key2, doc) of every stretch, and (key1, key2, n) of one stretch for each distinct set of documents."""
+    held = spans.select("key1", "key2", "doc").distinct()
+    sets = held.groupBy("key1", "key2").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "doc")).alias("s2"))
+    one = sets.where("n > 1").groupBy("n", "s1", "s2").agg(F.min(F.struct("key1", "key2")).alias("k")).select("k.*", "n")
+    return held, one
+
+
+def shared_pairs(spans: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
     """(doc_id_a, doc_id_b): all pairs of documents that hold one stretch.
 
-    Stretches with the same set of documents are expanded once: a long passage has many keys but one set.  The
-    expansion itself is as large as the result that the task asks for.
+    Stretches with the same set of documents are expanded once: a long passage has many keys but one set.  A set of many
+    documents is cut into blocks of about ``block``, and every two blocks are joined by themselves, so that a passage which a
+    third of all documents hold is spread over all tasks.  The expansion itself is as large as the result that the task
+    asks for; :func:`shared_classes` gives the same links without it.
     """
-    held = spans.select("key1", "key2", "doc").distinct()
-    sets = held.groupBy("key1", "key2").agg(
-        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("s1"),
-        F.bit_xor(F.xxhash64(F.lit(7), "doc")).alias("s2"))
-    one = sets.where("n > 1").groupBy("n", "s1", "s2").agg(F.min(F.struct("key1", "key2")).alias("k")).select("k.*")
-    kept = held.join(one, ["key1", "key2"])
-    a = kept.select("key1", "key2", F.col("doc").alias("doc_id_a"))
-    b = kept.select("key1", "key2", F.col("doc").alias("doc_id_b"))
-    return a.join(b, ["key1", "key2"]).where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b").distinct()
+    held, one = _sets(spans)
+    k = F.ceil(F.col("n") / block).cast("int")
+    part = held.join(one.select("key1", "key2", k.alias("_k")), ["key1", "key2"]).withColumn(
+        "_part", F.pmod(F.xxhash64(F.lit(9), "doc"), F.col("_k")).cast("int"))
+    a = part.select("key1", "key2", F.col("doc").alias("_a"), F.col("_part").alias("_pa"),
+                    F.explode(F.sequence("_part", F.col("_k") - 1)).alias("_pb"))
+    b = part.select("key1", "key2", F.col("doc").alias("_b"), F.col("_part").alias("_pb"),
+                    F.explode(F.sequence(F.lit(0), "_part")).alias("_pa"))
+    return a.join(b, ["key1", "key2", "_pa", "_pb"]).where("_pa < _pb or _a < _b").select(
+        F.least("_a", "_b").alias("doc_id_a"), F.greatest("_a", "_b").alias("doc_id_b")).distinct()
+
+
+def shared_classes(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class_id, members, links) and (class_id, doc_id): the links of :func:`shared_pairs` by class, not by pair.
+
+    A class is a distinct set of documents that hold one stretch, named by that stretch's key; every two of its members
+    are linked.
+    """
+    held, one = _sets(spans)
+    name = F.format_string("%016x%016x", "key1", "key2").alias("class_id")
+    n = F.col("n")
+    classes = one.select(name, n.alias("members"), (n * (n - 1) / 2).cast("bigint").alias("links"))
+    return classes, held.join(one.select("key1", "key2"), ["key1", "key2"]).select(name, F.col("doc").alias("doc_id"))
 
 
 def shared_share(docs: DataFrame, spans: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

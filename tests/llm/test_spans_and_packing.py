@@ -31,6 +31,13 @@ def test_shared_spans_against_brute_force(spark):
     found = spans.shared_spans(df, span=span, anchor=20)
     pairs, seen = brute_pairs([d for d in docs if d[0] is not None], span)
     assert {tuple(x) for x in spans.shared_pairs(found).collect()} == pairs and pairs
+    assert {tuple(x) for x in spans.shared_pairs(found, block=3).collect()} == pairs
+    classes, members = spans.shared_classes(found)
+    inside = {}
+    for x in members.collect():
+        inside.setdefault(x.class_id, []).append(x.doc_id)
+    assert {(min(a, b), max(a, b)) for m in inside.values() for a in m for b in m if a != b} == pairs
+    assert {(x.class_id, x.members, x.links) for x in classes.collect()} == {(c, len(m), len(m) * (len(m) - 1) // 2) for c, m in inside.items()}
     share = {x.doc_id: x.shared_chars for x in spans.shared_share(df, found).collect()}
     for i, t in dict(docs).items():
         if i is None:
@@ -42,6 +49,16 @@ def test_shared_spans_against_brute_force(spark):
         assert share[i] == len(covered), i
 
 
+def test_one_passage_in_many_documents(spark):
+    """The class is one row; its pairs are spread over blocks."""
+    passage = "".join(random.Random(4).choices("abcdefgh ", k=260))
+    df = spark.range(3000).selectExpr("id as doc_id", f"concat('doc ', id, '{passage}', id * 7) as text")
+    classes = spans.shared_classes(spans.shared_spans(df))[0].orderBy("members", ascending=False).collect()
+    assert (classes[0].members, classes[0].links) == (3000, 3000 * 2999 // 2)
+    pairs = spans.shared_pairs(spans.shared_spans(df.where("doc_id < 400")), block=50)
+    assert pairs.count() == 400 * 399 // 2
+
+
 def test_spans_of_nothing(spark):
     empty = spark.createDataFrame([], TEXT)
     assert spans.shared_pairs(spans.shared_spans(empty)).count() == 0
