@@ -141,10 +141,10 @@ def shared_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sp
     packed = source.join(places, "doc").select("doc", F.explode(packed_strings("text", "places")).alias("p")).select(
         F.col("p.bucket").alias("bucket"), "doc", F.col("p.at").alias("at"), F.col("p.len").alias("len"), F.col("p.packed").alias("packed"))
     k1, k2 = _key("packed")
-    packed = packed.withColumns({"c1": k1, "c2": k2})
+    packed = written(packed.withColumns({"c1": k1, "c2": k2}), "packed")
     classes = packed.groupBy("bucket", "c1", "c2").agg(
         F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.first("packed").alias("packed"), F.first("len").alias("len"))
-    members = written(packed.select("bucket", "c1", "c2", "doc", "at", "len"), "members")
+    members = packed.select("bucket", "c1", "c2", "doc", "at", "len")
     found = written(classes, "classes")
     same = members.join(found.where("lo <> hi").select("bucket", "c1", "c2"), ["bucket", "c1", "c2"], "left_semi")
     whole = same.select(F.col("c1").alias("key1"), F.col("c2").alias("key2"), "doc", "at", "len")
