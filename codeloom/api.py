@@ -38,9 +38,14 @@ def analyze_projects(spark: SparkSession, root: str) -> DataFrame:
     return pipeline.analyze(*project_tables(spark, root))
 
 
-def modernize_projects(spark: SparkSession, root: str, output: str, converter: Callable[[str], str] = convert.stub_converter) -> DataFrame:
-    """Convert all live methods, write one module per class below ``output`` and return one result row per project."""
+def modernize_projects(spark: SparkSession, root: str, output: str, converter: Callable[[str], str] = convert.stub_converter,
+                       settings: scan.Settings | None = None) -> DataFrame:
+    """Convert all live methods, write one module per class below ``output`` and return one result row per project.
+
+    ``settings`` default to those in the environment; their budget decides how much of its dependencies a request shows.
+    """
+    settings = settings or scan.Settings.from_env()
     files, classes, methods = project_tables(spark, root)
-    done = written(pipeline.modernize(classes, methods, files, converter), "converted")
+    done = written(pipeline.modernize(classes, methods, files, converter, settings.max_context_tokens), "converted")
     modules.write_modules(modules.module_texts(done), output).write.format("noop").mode("overwrite").save()
     return pipeline.project_result(files, done)

@@ -25,25 +25,22 @@ DOCUMENT_SYSTEM = "You write short, exact documentation for Python functions tha
 
 
 def modernize_prompt(source: Column, context: Column, class_name: Column, name: Column, excluded: Column) -> Column:
-    """The request for one method; warnings and context only where there are any."""
+    """The request for one method: the source first, then what it uses, what had no room, and the task."""
     left_out = F.size(F.coalesce(excluded, F.array().cast("array<string>"))) > 0
     has_context = F.coalesce(context, F.lit("")) != ""
     return F.array_join(F.filter(F.array(
-        F.concat(F.lit("Translate this Java method, `"), class_name, F.lit("."), name, F.lit("`, to Python.\n")),
-        F.when(left_out, F.concat(F.lit("WARNING: there was no room for these dependencies: "), F.array_join(excluded, ", "))),
-        F.when(left_out, F.lit("Do not guess what they do; mark the place with `# TODO: requires <name>`.\n")),
-        F.when(has_context, F.lit("=== DEPENDENCY CONTEXT ===")),
-        F.when(has_context, context),
-        F.when(has_context, F.lit("=== END DEPENDENCY CONTEXT ===\n")),
-        F.lit("=== TARGET METHOD ==="), source, F.lit("=== END TARGET METHOD ==="),
-        F.lit("\nTranslate only the target method; the context is for understanding."),
-    ), lambda x: x.isNotNull()), "\n")
+        F.concat(F.lit("## Java method "), class_name, F.lit("#"), name), source,
+        F.when(has_context, F.lit("## Code that it uses")), F.when(has_context, context),
+        F.when(left_out, F.concat(F.lit("## Used too, but not shown\n"), F.array_join(excluded, "\n"))),
+        F.lit("## Task\nWrite this method in Python."),
+        F.when(left_out, F.lit("Leave a comment `unseen: <name>` where code that is not shown decides the result.")),
+    ), lambda x: x.isNotNull()), "\n\n")
 
 
 def document_prompt(python_code: Column, java: Column, name: Column) -> Column:
     """The request to document one converted function."""
-    return F.array_join(F.array(F.concat(F.lit("Document the function `"), name, F.lit("`.")), F.lit("=== PYTHON ==="), python_code,
-                                F.lit("=== JAVA ==="), F.coalesce(java, F.lit("")), F.lit("=== END ===")), "\n")
+    return F.array_join(F.array(F.concat(F.lit("## Python function "), name), python_code, F.lit("## Its Java original"),
+                                F.coalesce(java, F.lit("")), F.lit("## Task\nWrite the docstring of the Python function.")), "\n\n")
 
 
 def parse_response(raw: Column) -> Column:
@@ -77,11 +74,18 @@ def checked_key(key: str | None) -> str:
     return key
 
 
-def convert(prompts: DataFrame, converter: Callable[[str], str] = stub_converter, seconds_between: float = 0.0) -> DataFrame:
+def service(call: Callable[[str, str, str], str], key: str | None, system: str = SYSTEM) -> Callable[[str], str]:
+    """A converter that hands the system text, the request and the checked key to ``call``."""
+    checked = checked_key(key)
+    return lambda prompt: call(system, prompt, checked)
+
+
+def convert(prompts: DataFrame, converter: Callable[[str], str] = stub_converter, seconds_between: float = 0.0, calls_at_once: int = 4) -> DataFrame:
     """``prompts`` with ``response`` and its parsed ``result``; a failing call gives an error row and never fails the job.
 
-    ``seconds_between`` is the least time between two calls of one task.  Write the result before going on: a task that
-    is run again calls again.
+    ``seconds_between`` is the least time between two calls of the whole job: with it, the requests are called by as few
+    tasks as ``calls_at_once``, each of which waits that many times as long.  Write the result before going on: a task that is run
+    again calls again.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,6 +103,8 @@ def convert(prompts: DataFrame, converter: Callable[[str], str] = stub_converter
                     out.append((None, f"{type(e).__name__}: {e}"))
             yield pdf.assign(response=[r for r, _ in out], _error=[e for _, e in out])
 
+    if seconds_between > 0:
+        prompts, seconds_between = prompts.repartition(calls_at_once), seconds_between * calls_at_once
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
     called = prompts.mapInPandas(run, f"{schema}, response string, _error string")
     failed = F.struct(F.concat(F.lit("# ERROR: "), "_error").alias("code"), F.lit("Conversion failed.").alias("explanation"),

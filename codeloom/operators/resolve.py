@@ -38,6 +38,26 @@ def nodes(classes: DataFrame, methods: DataFrame) -> DataFrame:
     return c.unionByName(m).withColumn("label", T.last_segment(F.col("id")))
 
 
+def classes_named(fields: DataFrame, classes: DataFrame) -> DataFrame:
+    """(project, field, class_name): the classes whose name is a part of each field's text.
+
+    A name made of word characters lies within one word of the field, so the parts of the distinct words, up to the longest
+    class name of the project, are joined with the names by equality; other names are compared with whole fields.
+    """
+    names = classes.where("class_name <> ''").select("project", "class_name").distinct()
+    plain = F.col("class_name").rlike(r"^[\w$]+$")
+    longest = names.where(plain).groupBy("project").agg(F.max(F.length("class_name")).alias("_most"))
+    words = fields.select("project", "field", F.explode(F.array_distinct(F.split("field", r"[^\w$]+"))).alias("_w")).where("_w <> ''")
+    size = F.length("_w")
+    # Every start, and every length from there.
+    starts = words.select("project", "_w").distinct().join(longest, "project").select("project", "_w", "_most", F.explode(F.sequence(F.lit(1), size)).alias("_at"))
+    parts = starts.select("project", "_w", F.explode(F.transform(
+        F.sequence(F.lit(1), F.least("_most", size - F.col("_at") + 1)), lambda n: F.substring("_w", F.col("_at"), n))).alias("class_name")).distinct()
+    within = parts.join(names.where(plain), ["project", "class_name"], "left_semi")
+    odd = fields.join(names.where(~plain), "project").where(F.col("field").contains(F.col("class_name"))).select("project", "field", "class_name")
+    return words.join(within, ["project", "_w"]).select("project", "field", "class_name").unionByName(odd).distinct()
+
+
 def resolve_calls(methods: DataFrame, classes: DataFrame) -> DataFrame:
     """(project, source, target): the method each call means.
 
@@ -64,12 +84,13 @@ def resolve_calls(methods: DataFrame, classes: DataFrame) -> DataFrame:
     direct = known.select("project", F.col("class_name").alias("s0"), F.col("name").alias("s1"), F.lit(True).alias("_direct"))
     dotted = dotted.join(direct, ["project", "s0", "s1"], "left")
     hit = dotted.where("_direct").select("project", F.col("qualified_name").alias("source"), F.concat_ws(".", "s0", "s1").alias("target"))
-    fields = registry.select("project", F.col("class_name").alias("parent"), "fields")
-    # The substring rule needs one candidate per caller class, qualifier and name, not per call.
-    asked = dotted.where("_direct is null").select("project", "parent", "s0", "s1").distinct().join(fields, ["project", "parent"])
-    candidates = asked.where(F.exists("fields", lambda f: f.contains(F.col("s0")))).join(
-        owners.withColumnRenamed("name", "s1"), ["project", "s1"])
-    fitting = candidates.where(F.exists("fields", lambda f: f.contains(F.col("class_name")) & f.contains(F.col("s0"))))
+    # The substring rule: which classes a field names is found once per distinct field, then method names meet by equality.
+    fields = registry.select("project", F.col("class_name").alias("parent"), F.explode("fields").alias("field")).where("field is not null").distinct()
+    asked = dotted.where("_direct is null").select("project", "parent", "s0", "s1").distinct()
+    told = asked.select("project", "parent", "s0").distinct().join(fields, ["project", "parent"]).where(F.col("field").contains(F.col("s0")))
+    named = classes_named(told.select("project", "field").distinct(), registry.select("project", "class_name"))
+    told = told.join(named, ["project", "field"]).select("project", "parent", "s0", "class_name").distinct()
+    fitting = asked.join(told, ["project", "parent", "s0"]).join(owners.withColumnRenamed("name", "s1"), ["project", "class_name", "s1"])
     meant = fitting.groupBy("project", "parent", "s0", "s1").agg(
         F.min_by("class_name", F.struct("file_path", "class_ord", "class_name")).alias("_class"))
     through = dotted.where("_direct is null").join(meant, ["project", "parent", "s0", "s1"]).select(

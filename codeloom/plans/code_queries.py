@@ -208,7 +208,7 @@ def scored_dependencies(s, d):
 
 def prompts(s, d):
     return pipeline.conversion_requests(_classes(s, d), _methods(s, d), _files(s, d, "project", "imports")).select(
-        "project", "qualified_name", F.length("prompt").alias("prompt_chars"), "excluded_deps", "compression_ratio")
+        "project", "qualified_name", F.md5("prompt").alias("prompt_md5"), "included_deps", "excluded_deps")
 
 
 def converted(s, d):
@@ -221,8 +221,8 @@ def parsed_responses(s, d):
         F.lit(convert.CODE[0] + "\n"), F.coalesce("python_code", F.lit("")), F.lit("\n" + convert.CODE[1] + "\n" + convert.EXPLANATION[0] + "\n"),
         F.coalesce("explanation", F.lit("")), F.lit("\n" + convert.EXPLANATION[1] + "\n" + convert.CONFIDENCE + "\n"),
         F.coalesce(F.col("confidence").cast("string"), F.lit("")), F.lit("\n" + convert.NOTES + "\n"), F.coalesce("confidence_notes", F.lit("")))
-    return _conversions(s, d).select("conversion_id", convert.parse_response(raw).alias("r")).select("conversion_id", "r.explanation",
-                                                                                                  "r.confidence", "r.confidence_notes")
+    return _conversions(s, d).select("conversion_id", convert.parse_response(raw).alias("r")).select(
+        "conversion_id", F.md5("r.code").alias("code_md5"), "r.explanation", "r.confidence", "r.confidence_notes")
 
 
 def _outcomes(s, d):
@@ -277,12 +277,18 @@ def method_ends(s, d):
     return java.method_end_lines(files.where("raw_source is not null"), m)
 
 
+def repo_names(s, d):
+    """Repository names from addresses made of the projects' names."""
+    url = F.concat(F.lit("https://git.example.org/team/"), "project", F.lit(".git/"))
+    return _files(s, d, "project").where("project <> ''").select("project", T.repo_name(url).alias("repo")).distinct()
+
+
 NAMES = (
     "noise_regions commented_code_regions noise_summary clean_source line_predicates token_estimates project_listing parse_status"
     " class_counts called_names dead_methods live_methods entry_points method_signatures class_signatures graph_nodes resolved_calls"
     " graph_edges graph_stats graph_export edge_dependents edge_dependencies edge_reachable edge_worth cyclic_projects call_components"
     " conversion_order context_windows context_windows_tight scored_dependencies prompts converted parsed_responses module_texts"
-    " report_summary report_entries conversion_averages confidence_bands analysis parsed_java parsed_methods method_ends").split()
+    " report_summary report_entries conversion_averages confidence_bands analysis parsed_java parsed_methods method_ends repo_names").split()
 
 
 def queries() -> dict:

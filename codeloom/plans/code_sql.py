@@ -129,7 +129,7 @@ deps AS (SELECT project, source AS target, target AS dep_id, CASE dep_type WHEN
 scored AS (SELECT d.* FROM deps d JOIN gnodes g ON g.project = d.project AND g.id = d.target AND g.type = 'method')"""
 
 
-def _packed(budget: int) -> str:
+def _packed(budget: int, select: str = "") -> str:
     ctes = (_REGISTRIES, _RESOLVED, _NODES, _EDGES, _METHOD_LINES, _regions("mr", "ml"), _cleaned("mcl", "ml", "mr"), _FACTS, _SCORED, f"""
 tries AS (SELECT s.project, s.target, s.dep_id, s.label, f.tokens, f.sig_tokens, f.ol, f.code, f.signature,
                  row_number() OVER (PARTITION BY s.project, s.target ORDER BY s.score DESC, s.dep_id) AS pos
@@ -150,12 +150,29 @@ whole AS (SELECT f.project, f.id AS target, coalesce(g.context_code, '') AS cont
           FROM sized f LEFT JOIN grouped g ON g.project = f.project AND g.target = f.id),
 counted AS (SELECT *, (CASE WHEN context_code = '' THEN 0 ELSE len(string_split(regexp_replace(regexp_replace(context_code, '\\r\\n?', chr(10), 'g'), '\\n\\z', ''), chr(10))) END + cl)::INT
                       AS optimized_total_lines FROM whole)""")
-    return _sql(*ctes, recursive=True, select=f"""
+    return _sql(*ctes, *([_CALLED, _DEAD] if select else []), recursive=True, select=select or f"""
 SELECT project, target, md5(context_code) AS context_md5, included_deps, excluded_deps, original_total_lines, optimized_total_lines,
        ({_TOKENS.format('context_code')} + tokens)::INT AS estimated_tokens,
        CASE WHEN original_total_lines = 0 THEN 0.0 ELSE 1.0::DOUBLE - optimized_total_lines / original_total_lines END AS compression_ratio FROM counted""")
 
 
+_COMPONENTS = """
+sccs AS (SELECT a.project, a.source AS node, min(b.source) AS component FROM walk a JOIN walk b ON b.project = a.project AND b.source = a.target AND b.target = a.source GROUP BY ALL),
+named AS (SELECT g.project, g.id AS node, coalesce(c.component, g.id) AS component FROM gnodes g LEFT JOIN sccs c ON c.project = g.project AND c.node = g.id WHERE g.type = 'method'),
+dag AS (SELECT DISTINCT a.project, a.component AS source, b.component AS target FROM resolved r JOIN named a ON a.project = r.project AND a.node = r.source
+        JOIN named b ON b.project = r.project AND b.node = r.target WHERE a.component <> b.component),
+ways(project, node, level) AS (SELECT DISTINCT project, component, 0 FROM named
+        UNION SELECT w.project, d.target, w.level + 1 FROM ways w JOIN dag d ON d.project = w.project AND d.source = w.node),
+levelled AS (SELECT n.project, n.node, n.component, l.level, n.project IN (SELECT project FROM walk WHERE source = target) AS cyclic
+        FROM named n JOIN (SELECT project, node, max(level) AS level FROM ways GROUP BY ALL) l ON l.project = n.project AND l.node = n.component)"""
+_RAW = r"""
+raw AS (SELECT conversion_id, confidence, confidence_notes, explanation, '===PYTHON_CODE_START===' || chr(10) || coalesce(python_code, '') || chr(10) || '===PYTHON_CODE_END===' || chr(10)
+        || '===EXPLANATION_START===' || chr(10) || coalesce(explanation, '') || chr(10) || '===EXPLANATION_END===' || chr(10) || '===CONFIDENCE===' || chr(10)
+        || coalesce(CAST(confidence AS VARCHAR), '') || chr(10) || '===CONFIDENCE_NOTES===' || chr(10) || coalesce(confidence_notes, '') AS whole,
+        regexp_replace(coalesce(python_code, ''), '^\s+|\s+$', '', 'g') AS marked FROM cv),
+coded AS (SELECT *, regexp_extract(whole, '(?s)```python\n(.*?)```', 1) AS fenced, regexp_matches(whole, '(?s)```python\n.*?```') AS has_fence FROM raw)"""
+
+
 SQL: dict[str, str] = {
     "noise_regions": _sql(_FILE_LINES, _regions("r", "fl"), select="""
 SELECT k AS file_id, CASE WHEN tagged THEN 'todo_block' ELSE 'excessive_comments' END AS noise_type, start_line::INT AS start_line, end_line::INT AS end_line,
@@ -222,12 +239,30 @@ SELECT project, dep_type, count(*) AS n, sum(weight) AS weight, sum(CASE dep_typ
 SELECT a.project, a.source AS node, min(b.source) AS component FROM walk a JOIN walk b ON b.project = a.project AND b.source = a.target AND b.target = a.source
 GROUP BY ALL"""),
     "context_windows": _packed(6000),
+    "prompts": _packed(6000, """
+SELECT w.project, m.qualified_name, md5('## Java method ' || m.class_name || '#' || m.name || chr(10) || chr(10) || f.code
+       || CASE WHEN w.context_code <> '' THEN chr(10) || chr(10) || '## Code that it uses' || chr(10) || chr(10) || w.context_code ELSE '' END
+       || CASE WHEN len(w.excluded_deps) > 0 THEN chr(10) || chr(10) || '## Used too, but not shown' || chr(10) || array_to_string(w.excluded_deps, chr(10)) ELSE '' END
+       || chr(10) || chr(10) || '## Task' || chr(10) || 'Write this method in Python.'
+       || CASE WHEN len(w.excluded_deps) > 0 THEN chr(10) || chr(10) || 'Leave a comment `unseen: <name>` where code that is not shown decides the result.' ELSE '' END) AS prompt_md5,
+       w.included_deps, w.excluded_deps
+FROM counted w JOIN mreg m ON m.project = w.project AND m.qualified_name = w.target JOIN facts f ON f.project = w.project AND f.id = w.target
+WHERE NOT EXISTS (SELECT 1 FROM dead d WHERE d.project = m.project AND d.qualified_name = m.qualified_name)"""),
     "context_windows_tight": _packed(700),
     "scored_dependencies": _sql(_REGISTRIES, _RESOLVED, _NODES, _EDGES, _SCORED, select="SELECT * FROM scored"),
-    "parsed_responses": _sql(select=r"""
-SELECT conversion_id, CASE WHEN e = '' THEN 'Conversion completed.' ELSE e END AS explanation, coalesce(confidence, 0.5) AS confidence,
+    "conversion_order": _sql(_REGISTRIES, _RESOLVED, _NODES, _CLOSURE, _COMPONENTS, recursive=True, select="""
+SELECT project, node, component, level, cyclic, row_number() OVER (PARTITION BY project ORDER BY CASE WHEN cyclic THEN -level ELSE level END, component, node) AS rank FROM levelled"""),
+    "method_ends": _sql(_lines("ml", "SELECT file_id AS k, project, raw_source AS t FROM cf"), """
+depth AS (SELECT k, ln, len(line) - len(replace(line, '{', '')) AS o, len(line) - len(replace(line, '}', '')) AS c FROM ml),
+run AS (SELECT k, ln, sum(o - c) OVER w AS after, sum(o) OVER w AS seen, sum(o - c) OVER w - o + c AS before, sum(o) OVER w - o AS seen_before FROM depth WINDOW w AS (PARTITION BY k ORDER BY ln)),
+begun AS (SELECT m.method_id, c.file_id, r.ln, r.before, r.seen_before FROM cm m JOIN cc c USING (class_id) JOIN run r ON r.k = c.file_id AND r.ln = m.start_line)""", select="""
+SELECT a.method_id, CAST(coalesce(min(r.ln) FILTER (r.ln >= a.ln AND r.seen > a.seen_before AND r.after <= a.before), max(r.ln)) AS INT) AS end_line
+FROM begun a JOIN run r ON r.k = a.file_id GROUP BY a.method_id"""),
+    "repo_names": _sql(select="SELECT DISTINCT project, project AS repo FROM cf WHERE project <> ''"),
+    "parsed_responses": _sql(_RAW, select=r"""
+SELECT conversion_id, md5(CASE WHEN marked <> '' THEN marked WHEN has_fence THEN regexp_replace(fenced, '^\s+|\s+$', '', 'g') ELSE regexp_replace(whole, '^\s+|\s+$', '', 'g') END) AS code_md5, CASE WHEN e = '' THEN 'Conversion completed.' ELSE e END AS explanation, coalesce(confidence, 0.5) AS confidence,
        regexp_replace(coalesce(confidence_notes, ''), '^\s+|\s+$', '', 'g') AS confidence_notes
-FROM (SELECT *, regexp_replace(coalesce(explanation, ''), '^\s+|\s+$', '', 'g') AS e FROM cv)"""),
+FROM (SELECT *, regexp_replace(coalesce(explanation, ''), '^\s+|\s+$', '', 'g') AS e FROM coded)"""),
     "module_texts": _sql(f"out AS ({_OUTCOMES})", select=rf"""
 SELECT project, lower(regexp_replace(regexp_replace(class_name, '(.)([A-Z][a-z]+)', '\1_\2', 'g'), '([a-z0-9])([A-Z])', '\1_\2', 'g')) || '.py' AS module,
        md5('""{chr(34)}' || chr(10) || 'Converted from the Java class ' || class_name || '.' || chr(10) || '""{chr(34)}' || chr(10) || chr(10) || string_agg('# --- ' || qualified_name || ' ---' || chr(10) || '# Confidence: ' || {_PERCENT} || chr(10)

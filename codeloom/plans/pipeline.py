@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators import context, convert, deadcode, graph, lines, resolve
+from codeloom.tables import written
 
 
 def analyze(files: DataFrame, classes: DataFrame, methods: DataFrame) -> DataFrame:
@@ -34,8 +35,8 @@ def conversion_requests(classes: DataFrame, methods: DataFrame, files: DataFrame
                         skip_dead: bool = True) -> DataFrame:
     """(project, class_name, qualified_name, prompt, included_deps, excluded_deps, compression_ratio) of live methods."""
     registry = resolve.method_registry(methods)
-    facts = context.method_facts(registry)
-    scored = context.scored_dependencies(resolve.edges(files, classes, methods), facts)
+    facts = written(context.method_facts(registry), "facts")
+    scored = context.scored_dependencies(written(resolve.edges(files, classes, methods), "edges"), facts)
     packed = context.pack(facts, scored, budget)
     live = deadcode.without_dead(registry, deadcode.dead_methods(methods)) if skip_dead else registry
     joined = live.select("project", "qualified_name", "class_name", "name").join(
@@ -52,7 +53,7 @@ def modernize(classes: DataFrame, methods: DataFrame, files: DataFrame,
     requests = conversion_requests(classes, methods, files, budget)
     done = convert.convert(requests, converter)
     nodes = resolve.nodes(classes, methods).where("type = 'method'").select("project", F.col("id").alias("node"))
-    calls = resolve.resolve_calls(methods, classes)
+    calls = written(resolve.resolve_calls(methods, classes), "calls")
     order = graph.conversion_order(nodes, calls).select("project", F.col("node").alias("qualified_name"), F.col("rank").alias("ord"))
     return done.join(order, ["project", "qualified_name"], "left").select(
         "project", "class_name", "qualified_name", "ord", F.col("result.code").alias("python_code"),

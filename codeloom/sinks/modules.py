@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import os
 import re
 import zipfile
@@ -58,34 +57,74 @@ def report_summary(conversions: DataFrame) -> DataFrame:
         *[F.count_if(band == b).alias(b.lower()) for b in ("HIGH", "MEDIUM", "LOW")])
 
 
+def _file_system(folder: str):
+    """File system and path of a folder: a plain path, or the address of a shared file system that Arrow knows."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+
+
 def write_modules(modules: DataFrame, folder: str) -> DataFrame:
     """Write each module to ``folder/project/module`` from the tasks and return (project, module, bytes).
 
-    Names are cut to plain file names.  A module that is written again replaces the earlier one.
+    On a cluster ``folder`` is an address that all executors reach, such as hdfs:// or s3://.  Names are cut to plain file
+    names.  A module that is written again replaces the earlier one.
     """
+    if "://" not in folder and modules.sparkSession.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("give the address of a shared file system")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = _file_system(folder)
         for pdf in batches:
             sizes = []
             for project, module, text in zip(pdf["project"], pdf["module"], pdf["text"]):
-                target = os.path.join(folder, re.sub(r"[^\w.-]", "_", project or "_"))
-                os.makedirs(target, exist_ok=True)
+                target = f"{base.rstrip('/')}/{re.sub(r'[^\w.-]', '_', project or '_')}"
+                files.create_dir(target, recursive=True)
                 data = text.encode()
-                name = os.path.join(target, re.sub(r"[^\w.-]", "_", module))
-                with open(f"{name}.part", "wb") as f:
+                name = f"{target}/{re.sub(r'[^\w.-]', '_', module)}"
+                with files.open_output_stream(f"{name}.part") as f:
                     f.write(data)
-                os.replace(f"{name}.part", name)
+                files.move(f"{name}.part", name)
                 sizes.append(len(data))
             yield pd.DataFrame({"project": pdf["project"], "module": pdf["module"], "bytes": sizes})
 
     return modules.select("project", "module", "text").mapInPandas(run, "project string, module string, bytes bigint")
 
 
-def zip_folder(folder: str) -> bytes:
-    """The files below a project's output folder as one .zip; for download of one project."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for root, _, names in sorted(os.walk(folder)):
-            for n in sorted(names):
-                path = os.path.join(root, n)
-                z.write(path, os.path.relpath(path, folder))
-    return out.getvalue()
+def write_archives(modules: DataFrame, folder: str) -> DataFrame:
+    """Write ``folder/<project>.zip`` with each project's modules from the tasks and return (project, members, bytes).
+
+    Modules reach their project's task sorted and go into the archive one by one; none is kept.
+    """
+    if "://" not in folder and modules.sparkSession.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("give the address of a shared file system")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = _file_system(folder)
+        files.create_dir(base, recursive=True)
+        done, project, archive, out, name, members = [], None, None, None, "", 0
+
+        def close() -> None:
+            archive.close()
+            size = out.tell()
+            out.close()
+            files.move(f"{name}.part", name)
+            done.append((project, members, size))
+
+        for pdf in batches:
+            for p, module, text in zip(pdf["project"], pdf["module"], pdf["text"]):
+                if archive is None or p != project:
+                    if archive is not None:
+                        close()
+                    project, members = p, 0
+                    name = f"{base.rstrip('/')}/{re.sub(r'[^\w.-]', '_', p or '_')}.zip"
+                    out = files.open_output_stream(f"{name}.part")
+                    archive = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)
+                archive.writestr(re.sub(r"[^\w.-]", "_", module), text)
+                members += 1
+        if archive is not None:
+            close()
+        yield pd.DataFrame(done, columns=["project", "members", "bytes"])
+
+    rows = modules.select("project", "module", "text").repartition("project").sortWithinPartitions("project", "module")
+    return rows.mapInPandas(run, "project string, members bigint, bytes bigint")

@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(
@@ -247,25 +247,25 @@ def all_methods(parsed: DataFrame, *keep: str) -> DataFrame:
 def method_end_lines(files: DataFrame, methods: DataFrame) -> DataFrame:
     """(method_id, end_line): first line from start_line on where an opening brace was seen and the depth is back at 0.
 
-    Braces in literals and comments count; without such a line the file's last line ends the method.  The depth is a
-    running sum over the lines of each file; a method meets the lines of its own file only.
+    Braces in literals and comments count; without such a line the file's last line ends the method.  The depths are a
+    running sum over the lines of a file, kept as one list that each of its methods is looked up in.
     """
-    from pyspark.sql import Window as W
-
     from codeloom.operators.lines import line_table
 
     lines = line_table(files.where("file_id is not null"), "file_id", "raw_source")
-    count = lambda c: F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))
-    per = W.partitionBy("file_id").orderBy("ln")
-    depth = lines.select("file_id", "ln", count("{").alias("opens"), count("}").alias("closes")).withColumns({
-        "after": F.sum(F.col("opens") - F.col("closes")).over(per), "seen": F.sum("opens").over(per)})
-    depth = depth.withColumns({"before": F.col("after") - F.col("opens") + F.col("closes"), "seen_before": F.col("seen") - F.col("opens")})
-    start = methods.select("file_id", "method_id", "start_line").join(
-        depth.select("file_id", F.col("ln").alias("start_line"), F.col("before").alias("_b"), F.col("seen_before").alias("_s")),
-        ["file_id", "start_line"])
-    ends = start.join(depth.select("file_id", "ln", "after", "seen"), "file_id").where(
-        (F.col("ln") >= F.col("start_line")) & (F.col("seen") > F.col("_s")) & (F.col("after") <= F.col("_b")))
-    first = ends.groupBy("method_id").agg(F.min("ln").alias("_end"))
-    last = lines.groupBy("file_id").agg(F.max("ln").alias("_last"))
-    return start.join(first, "method_id", "left").join(last, "file_id").select(
-        "method_id", F.coalesce("_end", "_last").alias("end_line"))
+    count = lambda c: (F.length("line") - F.length(F.replace("line", F.lit(c), F.lit("")))).cast("int")
+    listed = lines.select("file_id", F.struct("ln", count("{").alias("opens"), count("}").alias("closes")).alias("l")).groupBy("file_id").agg(
+        F.array_sort(F.collect_list("l")).alias("lines"))
+    wanted = methods.select("file_id", "method_id", "start_line").join(listed, "file_id").where(
+        (F.col("start_line") >= 1) & (F.col("start_line") <= F.size("lines")))
+    none = F.lit(None).cast("int")
+    # (depth, whether a brace was opened, the end once it is found)
+    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("seen"), none.alias("end"))
+
+    def step(x: Column, line: Column) -> Column:
+        depth, seen = x.depth + line.opens - line.closes, x.seen | (line.opens > 0)
+        return F.struct(depth.alias("depth"), seen.alias("seen"),
+                        F.coalesce(x.end, F.when(seen & (depth <= 0), line.ln.cast("int"))).alias("end"))
+
+    found = F.aggregate(F.slice("lines", F.col("start_line"), F.size("lines")), state, step, lambda x: x.end)
+    return wanted.select("method_id", F.coalesce(found, F.size("lines")).alias("end_line"))

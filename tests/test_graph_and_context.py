@@ -78,3 +78,16 @@ def test_packing(spark):
     assert "// --- Dependency (signature only): Task.go ---\npublic static void go() { /* ... */ }" in tight.context_code
     none = {x.target: x for x in context.pack(facts, scored, budget=500).collect()}["A.run"]
     assert none.included_deps == [] and none.excluded_deps == ["A.help", "Task.go"] and none.context_code == ""
+
+
+def test_long_chains_take_few_rounds(spark):
+    """A chain and a ring of thousands of nodes are contracted by pointer doubling."""
+    n = 2500
+    chain = [(f"n{i:05}", f"n{i + 1:05}") for i in range(n)]
+    ring = [(f"r{i:05}", f"r{(i + 1) % n:05}") for i in range(n)]
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    found = graph.components(edges(spark, chain + ring + [("r00000", "x"), ("x", "n00000")])).collect()
+    assert {x.component for x in found} == {"r00000"} and len(found) == n
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - jobs < 200
+    nodes = spark.createDataFrame([("p", f"n{i:05}") for i in range(n + 1)], "project string, node string")
+    assert all(int(x.node[1:]) == x.level and x.rank == x.level + 1 for x in graph.conversion_order(nodes, edges(spark, chain)).collect())

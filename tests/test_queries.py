@@ -8,7 +8,6 @@ import __spark_entry__ as entry
 DATA = "/root/testdata/sf0.001"
 CORE = {k: f for m in [__import__("importlib").import_module(x) for x in entry.MODULES] for k, f in m.queries().items()}
 SQL = {k: s for m in [__import__("importlib").import_module(x) for x in entry.MODULES] for k, s in m.oracle_sql().items()}
-SLOW = {"graph_stats", "conversion_order", "converted", "prompts", "cyclic_projects", "call_components", "context_windows"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +29,7 @@ def rows(frame):
     return names, sorted(tuple(plain(r[i]) for i in order) for r in frame[1])
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, duck, name):
     df = CORE[name](spark, DATA)
     got = rows((df.columns, [tuple(r) for r in df.collect()]))

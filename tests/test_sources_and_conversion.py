@@ -91,7 +91,8 @@ def test_conversion_never_fails(spark):
     with pytest.raises(ValueError):
         convert.checked_key(" your-key ")
     prompt = df.select(convert.modernize_prompt(F.lit("src"), F.lit(""), F.lit("A"), F.lit("f"), F.array(F.lit("B.g"))).alias("p")).first().p
-    assert "WARNING" in prompt and "DEPENDENCY CONTEXT" not in prompt and "B.g" in prompt
+    assert "not shown\nB.g" in prompt and "Code that it uses" not in prompt
+    assert convert.service(lambda system, prompt, key: f"{key}:{prompt}:{len(system) > 100}", "k1")("x") == "k1:x:True"
 
 
 def test_modules(spark, tmp_path):
@@ -101,7 +102,11 @@ def test_modules(spark, tmp_path):
     r = m.first()
     assert r.module == "big_box.py" and r.text.index("BigBox.a") < r.text.index("BigBox.b") and "# Notes: check" in r.text and "34%" in r.text
     assert [tuple(x)[:2] for x in modules.write_modules(m, str(tmp_path)).collect()] == [("p", "big_box.py")]
-    assert (tmp_path / "p/big_box.py").read_text() == r.text and modules.zip_folder(str(tmp_path))[:2] == b"PK"
+    assert (tmp_path / "p/big_box.py").read_text() == r.text
+    both = m.unionByName(m.withColumn("module", F.lit("a.py"))).unionByName(m.withColumn("project", F.lit("q/1")))
+    assert {tuple(x)[:2] for x in modules.write_archives(both, str(tmp_path / "zips")).collect()} == {("p", 2), ("q/1", 1)}
+    with zipfile.ZipFile(tmp_path / "zips/p.zip") as z:
+        assert z.namelist() == ["a.py", "big_box.py"] and z.read("big_box.py").decode() == r.text
 
 
 def test_stream(spark, tmp_path):
