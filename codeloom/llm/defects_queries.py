@@ -20,8 +20,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return D.found(p1_scored(spark, d))
 
 
+def p1_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of each sign's model on pairs damaged on purpose."""
+    conversions = table(spark, d, "conversions", "conversion_id", "method_id", "python_code", "explanation", "confidence_notes")
+    return D.validation(conversions, table(spark, d, "methods", "method_id", "source_code"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_scored": p1_scored}
+    return {"p1_found": p1_found, "p1_scored": p1_scored, "p1_validation": p1_validation}
 
 
 def oracle_sql() -> dict[str, str]:

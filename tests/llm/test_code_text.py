@@ -9,14 +9,14 @@ JAVA = "/** Doc */\n  @Override\n  public int sum(int a) {\n    // keep\n    int
 
 def test_votes():
     ok = defects.votes("def sum(self, a):\n    b = a + 1\n    return b * 2", "Kept the order of the two statements.", "Unable to tell whether it may be empty.", JAVA)
-    assert all(v[0] == 0 for v in ok.values())
+    assert all(v[0] < 1 for v in ok.values())
     assert defects.votes("def sum(self, a):\n    pass", None, None, JAVA)["empty"][0] == 1
     assert defects.votes(None, None, None, None)["empty"][:2] == (1, 1)
     assert defects.votes("int b=a+1; { int b = a + 1; return b * 2; }", "", "", JAVA)["copy"][0] == 1
-    assert defects.votes("def sum(self, a):\n    b = a +", "", "", JAVA)["truncated"][0] == 1
-    assert defects.votes("x = 1", "Die Schleife ist nun eine einfache Anweisung und bleibt so.", "", JAVA)["language"][0] == 1
+    assert defects.votes("def sum(self, a):\n    b = a +", "", "", JAVA)["truncated_code"][0] == 1
+    assert defects.votes("x = 1", "Die Schleife ist nun eine einfache Anweisung und bleibt so.", "", JAVA)["language_text"][0] == 1
     assert defects.votes("", "I am not able to help with converting this routine.", "", JAVA)["refusal"][0] == 1
-    assert defects.votes("```python\ndef f(a):\n    return a\n```", "Quotes 'I cannot convert this' are none.", "", JAVA)["truncated"][1] == 0
+    assert defects.votes("```python\ndef f(a):\n    return a\n```", "Quotes 'I cannot convert this' are none.", "", JAVA)["truncated_code"][1] == 0
 
 
 def test_label_model():
@@ -28,13 +28,35 @@ def test_label_model():
         counts[p] = counts.get(p, 0) + 1
         truth.setdefault(p, []).append(y)
     m = defects.LabelModel(4).fit(counts)
-    cut = m.cutoff(counts)
+    labelled = {"sound": {}, "own": {}}
+    for p, ys in truth.items():
+        for y in ys:
+            part = labelled["own" if y else "sound"]
+            part[p] = part.get(p, 0) + 1
+    cut, precision, recall = m.validated("own", labelled)
+    assert precision > 0.85 and recall > 0.85 and m.validated("own", {})[0] == 0.5
+    assert m.posterior((-1, -1, -1, -1)) == m.posterior(()) and abs(m.posterior(()) - m.prior) < 1e-9  # who abstains says nothing
     hit = sum(sum(v) for p, v in truth.items() if m.posterior(p) >= cut)
     size = sum(len(v) for p, v in truth.items() if m.posterior(p) >= cut)
     assert hit / size > 0.85 and hit > 0.85 * sum(map(sum, truth.values()))
     assert defects.LabelModel(2).fit({}).prior == 0.03
 
 
+def test_defects_in_words_and_tongues_that_no_list_has():
+    """Votes on defects in new wording and new languages; the corpus's own words tell what is familiar."""
+    familiar = frozenset("the order of statements was kept as it is and every loop became a plain for so rounding stays".split())
+    code = "def sum(self, a):\n    b = a + 1\n    return b * 2"
+    for strange in ("Puvodni smycka byla nahrazena jednoduchym prikazem bez vedlejsich ucinku.", "元のループは単純な文に置き換えられ、結果は変わりません。その他の部分はすべて元のまま残してあります。",
+                    "Alkuperainen silmukka korvattiin yksinkertaisella lauseella ilman sivuvaikutuksia."):
+        v = defects.votes(code, strange, "", JAVA, familiar)
+        assert v["language_text"][3] == 1 and v["language_text"].count(1) >= 2 and v["truncated_text"][0] < 1, (strange, v)
+    v = defects.votes(code, "The order of the statements was kept as it is.", "", JAVA, familiar)
+    assert 1 not in v["language_text"]
+    v = defects.votes("# I'd prefer to leave this one to your own engineers, not to me", "I would sooner not touch this method.", "", JAVA, familiar)
+    assert v["refusal"][2:] == (1, 1, 1)
+    assert defects.votes("def sum(self, a):\n    b = a + 1", "The order was kept.", "", JAVA, familiar)["truncated_code"][2] == 1
+
+
 def test_defects_end_to_end(spark):
     good = "def sum(self, a):\n    b = a + 1\n    return b * 2"
     rows = [(i, 1, good, "Kept the order of the statements.", "None.", "x") for i in range(300)]
