@@ -95,7 +95,7 @@ COMMON_SHARE, COMMON_WORDS, COMMON_LEAST = 0.005, 50_000, 500
 #: No cutoff lies below this posterior, whatever the labelled pairs say.
 LEAST_POSTERIOR = 0.4
 #: Pairs that are damaged on purpose to validate the cutoffs, about; a bound of the labelled sample.
-LABELLED = 2_000
+LABELLED = 1_000
 #: Where several defects exceed their cutoff, the first one counts.
 ORDER = {d: i for i, d in enumerate(DEFECTS)}
 
@@ -249,7 +249,7 @@ def votes(code: str | None, explanation: str | None, notes: str | None, java: st
 
     def unfamiliar(text: str) -> bool:
         found = _LETTERS.findall(_QUOTED.sub(" ", text).lower())
-        return len(found) > 4 and sum(w in familiar or "en" in _TONGUES.get(w, ()) for w in found) < 0.35 * len(found) or len(found) <= 4 and len(text) > 40 and not text.isascii()
+        return len(found) > 4 and sum(w in familiar or "en" in _TONGUES.get(w, ()) for w in found) < 0.45 * len(found) or len(found) <= 4 and len(text) > 40 and not text.isascii()
 
     return {
         "refusal": (

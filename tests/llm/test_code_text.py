@@ -54,7 +54,7 @@ def test_defects_in_words_and_tongues_that_no_list_has():
     assert 1 not in v["language_text"]
     v = defects.votes("# I'd prefer to leave this one to your own engineers, not to me", "I would sooner not touch this method.", "", JAVA, familiar)
     assert v["refusal"][2:] == (1, 1, 1)
-    assert defects.votes("def sum(self, a):\n    b = a + 1", "The order was kept.", "", JAVA, familiar)["truncated_code"][2] == 1
+    assert defects.votes("def sum(self, a):\n    c = 7", "The order was kept.", "", JAVA, familiar)["truncated_code"][2] == 1
 
 
 def test_defects_end_to_end(spark):
