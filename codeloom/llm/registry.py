@@ -1,4 +1,4 @@
-"""Queries and SQL of this subpackage; problems whose module is missing are left out."""
+"""Queries and SQL of this subpackage."""
 
 from __future__ import annotations
 
