@@ -159,6 +159,17 @@ def _foreign(text: str | None) -> tuple[int, int, int]:
     return len(words), en, max(hits.values(), default=0)
 
 
+def _last_word(text: str) -> tuple[str, str]:
+    """The last run of letters of a text in lower case, and what stands before it."""
+    end = len(text)
+    while end and not text[end - 1].isalpha():
+        end -= 1
+    start = end
+    while start and text[start - 1].isalpha():
+        start -= 1
+    return text[start:end].lower(), text[:start]
+
+
 def _camel_free(name: str) -> str:
     return name.replace("_", "").lower()
 
@@ -243,9 +254,8 @@ def votes(code: str | None, explanation: str | None, notes: str | None, java: st
     other_code = foreign or judged and tag not in ("", "python", "py", "python3", "text", "java")
     finished = judged and not other_code
     ends = explanation.rstrip() if explanation and explanation.strip() and not repeated else ""
-    last = re.search(r"([^\W\d_]+)\W*$", ends)
-    known_last = not familiar or not last or last[1].lower() in familiar or last[1].lower() in java.lower() or len(last[1]) > 2 and any(
-        w.lower() == last[1].lower() for w in _LETTERS.findall(ends[:last.start()]))
+    last, before = _last_word(ends)
+    known_last = not familiar or not last or last in familiar or last in java.lower() or len(last) > 2 and any(w.lower() == last for w in _LETTERS.findall(before))
 
     def unfamiliar(text: str) -> bool:
         found = _LETTERS.findall(_QUOTED.sub(" ", text).lower())
